@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, simhash, toxicity
-from .common import crc32_of, table
+from . import ann, chat, decontaminate, mixing, pii, simhash, toxicity, warc
+from .common import crc32_of, scratch_path, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.page_rows(warc.captures(warc.read(spark, path, payloads=False)))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    index = ann.build(rows)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return ann.search(index, rows.where("vec_id % 20 = 0"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
@@ -52,6 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_chat": op4_chat,
         "op5_simhash": op5_simhash,
+        "op6_warc": op6_warc,
+        "op8_ann": op8_ann,
         "op9_pii": op9_pii,
     }
 
@@ -100,8 +117,20 @@ FROM lines GROUP BY conv_id
 """
 
 
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
+SELECT page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes,
+    list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((CAST('0x' || h[1 + 5 * (i // 4):5 + 5 * (i // 4)] AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31)]), 'string_agg', '') AS payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM p JOIN firsts ON p.html = firsts.html
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": OP1_SQL,
         "op4_chat": OP4_SQL,
+        "op6_warc": OP6_SQL,
     }
