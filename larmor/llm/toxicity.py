@@ -14,6 +14,7 @@ smallest hashes of their ids) is used for fitting; every whole text is scored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,6 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +77,8 @@ class Level:
 
     def __post_init__(self) -> None:
         self.contexts, of = np.unique(self.grams >> np.uint64(8), return_inverse=True)
-        self.totals = np.bincount(of, self.counts, len(self.contexts))
-        self.types = np.bincount(of, self.counts > 0, len(self.contexts))
+        self.totals = np.bincount(of, self.counts, len(self.contexts)).astype(np.float32)
+        self.types = np.bincount(of, self.counts > 0, len(self.contexts)).astype(np.float32)
 
     def smooth(self, code: np.ndarray, lower: np.ndarray, discount: float) -> np.ndarray:
         """Absolute discounting over ``lower``; an unknown context leaves ``lower``."""
@@ -95,12 +97,18 @@ class KneserNey:
     """The pair of models from ``(gram, toxic count, ordinary count)``, grams ascending."""
 
     def __init__(self, grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, order: int = ORDER, discount: float = DISCOUNT) -> None:
-        self.order, self.discount = order, discount
-        self.own = [Level(grams, counts.astype(float)) for counts in (toxic, ordinary)]
+        self.order, self.discount, self._counts = order, discount, (grams, toxic, ordinary)
+        self.own = [Level(grams, counts.astype(np.float32)) for counts in (toxic, ordinary)]
         self.shared: list[Level] = []
         for k in range(order - 1, 0, -1):
             grams, types = np.unique(grams & np.uint64((1 << 8 * k) - 1), return_counts=True)
-            self.shared.append(Level(grams, types.astype(float)))
+            self.shared.append(Level(grams, types.astype(np.float32)))
+
+    def __reduce__(self) -> tuple:
+        """Only the counts travel, compressed; tables are made again where they are used."""
+        grams, *counts = self._counts
+        packed = [zlib.compress(_planes(np.diff(grams, prepend=np.uint64(0))), 1)] + [zlib.compress(_planes(c.astype(np.uint64)), 1) for c in counts]
+        return _unpack, (packed, self.order, self.discount)
 
     def ratio(self, words: list[bytes]) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word."""
@@ -114,11 +122,20 @@ class KneserNey:
         return np.bincount(word, toxic - ordinary, len(words))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpack(packed: list[bytes], order: int, discount: float) -> KneserNey:
+    gaps, toxic, ordinary = (np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for x in packed)
+    return KneserNey(np.cumsum(gaps, dtype=np.uint64), toxic, ordinary, order, discount)
+
+
 @dataclass
 class Model:
-    """The two models, and mean, scale and weights of the logistic function of the features."""
+    """The two models (a broadcast of them), and mean, scale and weights of the logistic function of the features."""
 
-    kn: KneserNey
+    kn: Broadcast
     center: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -216,10 +233,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *sums], names=["gram", "toxic", "ordinary"])
 
     counted = sample.where("not calibrates").select("text", "label").mapInArrow(count, "gram long, toxic long, ordinary long")
-    table = counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas()
-    grams = table["gram"].to_numpy(np.int64).view(np.uint64)
+    table = counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
+    grams, *counts = (table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("gram", "toxic", "ordinary"))
     order = np.argsort(grams)
-    kn = KneserNey(grams[order], table["toxic"].to_numpy(float)[order], table["ordinary"].to_numpy(float)[order])
+    kn = KneserNey(grams[order], counts[0][order], counts[1][order])
     sent = docs.sparkSession.sparkContext.broadcast(kn)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,20 +246,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             yield pa.RecordBatch.from_arrays([*map(pa.array, got.T), batch.column(1)], names=[*names, "label"])
 
     names = [f"f{i}" for i in range(FEATURES)]
-    seen = sample.where("calibrates").select("text", "label").mapInArrow(measure, "".join(f"{n} double, " for n in names) + "label int").toPandas()
+    seen = sample.where("calibrates").select("text", "label").mapInArrow(measure, "".join(f"{n} double, " for n in names) + "label int").toArrow().to_pandas()
     seen = seen.sort_values([*names, "label"])
-    return Model(kn, *logistic(seen[names].to_numpy(float), seen["label"].to_numpy(float)))
+    return Model(sent, *logistic(seen[names].to_numpy(float), seen["label"].to_numpy(float)))
 
 
-def scorer(model: Model, docs: DataFrame):
+def scorer(model: Model):
     """A column function of a text: its score between 0 and 1."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        features = Features(sent.value.kn)
+        features = Features(model.kn.value)
         for batch in texts:
-            yield pd.Series(sent.value.scores(features(batch.tolist())))
+            yield pd.Series(model.scores(features(batch.tolist())))
 
     return lambda text: score(F.col(text).cast("binary"))
 
@@ -254,10 +269,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Repeated rows get equal scores; null ids are kept; other columns are not read.  Without labelled rows
     of both classes every text gets one constant score, below 0.5 unless all labels are 1.
     """
-    got = docs.select(F.col(id_col).alias("doc_id"), scorer(model, docs)(text_col).alias("score"))
+    got = docs.select(F.col(id_col).alias("doc_id"), scorer(model)(text_col).alias("score"))
     return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose score is 0.5 or more; all columns stay as they are."""
-    return docs.where(scorer(model, docs)(text_col) < 0.5)
+    return docs.where(scorer(model)(text_col) < 0.5)
