@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, mixing, pii, simhash, toxicity, warc
+from . import ann, chat, ctw, decontaminate, linededup, mixing, pii, simhash, toxicity, warc
 from .common import crc32_of, scratch_path, table
 
 
@@ -48,6 +48,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_of("doc_id") % 10 == 0
+    got = ctw.score(docs, docs.where(~held_out))
+    return got.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     index = ann.build(rows)
@@ -60,6 +67,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = linededup.dedup(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -68,8 +80,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat": op4_chat,
         "op5_simhash": op5_simhash,
         "op6_warc": op6_warc,
+        "op7_ctw": op7_ctw,
         "op8_ann": op8_ann,
         "op9_pii": op9_pii,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
