@@ -1,15 +1,6 @@
 """Named queries over the driver tables and the SQL twin of each."""
 
-from __future__ import annotations
+from larmor.plans.queries import queries
+from larmor.plans.sql import oracle_sql
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
