@@ -3,17 +3,40 @@
 from __future__ import annotations
 
 import math
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Low-pass taps of orthogonal wavelets by number of taps.
-_S3 = math.sqrt(3.0)
-LOW_PASS = {
-    "db2": [1 / math.sqrt(2), 1 / math.sqrt(2)],
-    "db4": [c / (4 * math.sqrt(2)) for c in (1 + _S3, 3 + _S3, 3 - _S3, 1 - _S3)],
-}
+
+def daubechies(taps: int, symmetric: bool = False) -> list[float]:
+    """Low-pass taps of the orthogonal wavelet with ``taps`` taps, by spectral factorisation.
+
+    Half of the polynomial's roots make the filter: those inside the unit circle, or the choice with the
+    most symmetric taps.
+    """
+    p = taps // 2
+    halfband = [math.comb(p - 1 + k, k) for k in range(p)][::-1]
+    groups: list[list[complex]] = []
+    for y in np.roots(halfband) if p > 1 else []:
+        if y.imag >= -1e-12:  # one root of each conjugate pair stands for both
+            z = np.roots([1, 4 * y - 2, 1])
+            inside = complex(z[np.argmin(np.abs(z))])
+            groups.append([inside] if abs(inside.imag) < 1e-12 else [inside, inside.conjugate()])
+    best, least = None, math.inf
+    for choice in product([False, True], repeat=len(groups) if symmetric else 0):
+        roots = [1 / r if flip else r for g, flip in zip(groups, choice or [False] * len(groups), strict=True) for r in g]
+        h = np.real(np.poly([-1.0] * p + roots))
+        h *= math.sqrt(2) / h.sum()
+        skew = float(np.abs(h - h[::-1]).sum())
+        if skew < least:
+            best, least = h, skew
+    return best.tolist()
+
+
+#: Low-pass taps by name; the number is that of the taps.
+LOW_PASS = {f"db{n}": daubechies(n) for n in (2, 4, 6, 8)} | {f"sym{n}": daubechies(n, n == 8) for n in (2, 4, 6, 8)}
 
 
 def dft(df: DataFrame, keys: list[str], size: int, axis: str = "n", inverse: bool = False) -> DataFrame:
