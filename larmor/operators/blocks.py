@@ -177,6 +177,24 @@ def low_rank_slabs(df: DataFrame, keys: list[str], column: str, columns: int, ax
     return df
 
 
+def phase_rotation(frames: np.ndarray, width: float = 0.25, slope: float = 0.05) -> np.ndarray:
+    """Unit phase of the low-passed sum of the frames; multiply by its conjugate to remove it, by itself to restore it."""
+    total = fft(frames.sum(0))
+    for a, n in enumerate(total.shape):
+        r = np.abs(np.arange(n) - n // 2) / n
+        w = 1 / (1 + np.exp((r - width) / slope))
+        total = total * w.reshape([-1 if i == a else 1 for i in range(total.ndim)])
+    smooth = fft(total, inverse=True)
+    m = np.abs(smooth)
+    return np.where(m > 0, smooth / np.where(m > 0, m, 1), 1)
+
+
+def temporal_basis(frames: np.ndarray, block: int = 8) -> np.ndarray:
+    """Principal directions over frames from sums over blocks: rows of a unitary matrix, strongest first."""
+    sums = np.array([[f[at].sum() for at in patches(frames.shape[1:], min(block, *frames.shape[1:]), (0,) * (frames.ndim - 1))] for f in frames])
+    return np.linalg.svd(sums, full_matrices=True)[0].conj().T
+
+
 def principal_channel(x: np.ndarray) -> np.ndarray:
     """Channels (rows: samples) combined by the leading right singular vector."""
     return x @ np.linalg.svd(x, full_matrices=False)[2][0].conj()

@@ -99,6 +99,26 @@ def cell_volumes(points: np.ndarray, radius: float, neighbours: int = 40) -> np.
     return out
 
 
+def sphere_weights(points: np.ndarray, radius: float = 16.0, neighbours: int = 40) -> np.ndarray:
+    """Weights of directions: cells on a shell of ``radius`` (one thick to either side) times the original radius."""
+    length = np.linalg.norm(points, axis=1)
+    on = points / np.maximum(length, 1e-12)[:, None] * radius
+    out = np.zeros(len(points))
+    for i, p in enumerate(on):
+        if length[i] == 0:
+            continue
+        d = on - p
+        far = np.linalg.norm(d, axis=1)
+        far[far < 1e-9] = np.inf
+        near = np.argsort(far)[:neighbours]
+        near = near[np.isfinite(far[near])]
+        n = p / radius
+        normals = np.array([*(d[near] / far[near, None]), n, -n, *np.eye(3), *-np.eye(3)])
+        offsets = np.array([*((d[near] / far[near, None] * (on[near] + p) / 2).sum(1)), radius + 1, 1 - radius, *[radius + 1] * 6])
+        out[i] = _polytope_volume(p, normals, offsets) * length[i]
+    return out
+
+
 def density_weights(samples: DataFrame, keys: list[str], axes: list[str], kmax: float | None = None) -> DataFrame:
     """``keys, sample, kw``: cell volumes shared evenly among near-equal points; 0 beyond ``kmax - 1``."""
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from larmor.functions import cplx, kernels
 from larmor.functions.cplx import settled
-from larmor.operators import coils, fitting, gating, lines, shape, stencil, thresholds
+from larmor.operators import blocks, coils, fitting, gating, lines, shape, stencil, thresholds
+from larmor.plans import recon
 from larmor.sources import standins as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -543,5 +544,58 @@ def bolus_curve(spark, sf):
     return simulate.bolus_frames(segments, 6).select("frame", _r("signal", 4))
 
 
+def _frames(spark, sf):
+    """Embeddings as stacks of eight frames: ``stack, frame, n, re, im``."""
+    l = src.lines(spark, sf)  # noqa: E741
+    return l.select(F.floor(F.col("vec_id") / 8).cast("long").alias("stack"), (F.col("vec_id") % 8).cast("int").alias("frame"), "n", F.col("x").alias("re"), F.lit(0.0).alias("im"))
+
+
+def svd_block_threshold(spark, sf):
+    found = blocks.low_rank_slabs(_frames(spark, sf), ["stack"], "frame", 8, {"n": 64}, 0.4, block=8, rounds=2)
+    return found.select("stack", "frame", "n", _r("re", 5))
+
+
+def fft_blocks(spark, sf):
+    found = blocks.fft_blocks(_frames(spark, sf), ["stack"], {"frame": 8, "n": 64})
+    return found.select("stack", "frame", "n", _r("re", 5), _r("im", 5))
+
+
+def wavelet_blocks(spark, sf):
+    found = blocks.on_blocks(_frames(spark, sf), ["stack"], {"frame": 8, "n": 64}, lambda x: blocks.wavelet3d(x, 3, "db4"))
+    return found.select("stack", "frame", "n", _r("re", 5))
+
+
+def coil_whitening(spark, sf):
+    matrix = coils.matrix_table(spark, coils.whitening_matrix(src.coil_rows(spark, sf), CHANNELS))
+    c = src.coil_samples(spark, sf).select("vec_id", "coil", "re", "im")
+    return coils.apply_matrix(c, matrix, ["vec_id"], "coil").select("vec_id", "coil", _r("re", 6), _r("im", 6))
+
+
+def coil_compression(spark, sf):
+    matrix = coils.matrix_table(spark, coils.compression_matrix(src.coil_rows(spark, sf), CHANNELS, 4))
+    c = src.coil_samples(spark, sf).select("vec_id", "coil", "re", "im")
+    # The sign of a principal direction is free: magnitudes are reported.
+    return coils.apply_matrix(c, matrix, ["vec_id"], "coil").select("vec_id", "coil", settled(cplx.magnitude(cplx.pair("re", "im")), 5).alias("magnitude"))
+
+
+def voronoi_weights(spark, sf):
+    from larmor.operators import voronoi
+
+    s = src.samples(spark, sf).select("l_returnflag", "kx", "ky").distinct().withColumn("sample", F.floor((F.col("kx") + 25) * 100 + F.col("ky") + 5).cast("long"))
+    return voronoi.density_weights(s, ["l_returnflag"], ["kx", "ky"]).select("l_returnflag", "sample", _r("kw", 4))
+
+
+def reconstruct_sos(spark, sf):
+    s = src.samples(spark, sf).groupBy("l_returnflag", "kx", "ky").agg(F.avg("re").alias("re"))
+    flags = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    k = s.select(F.lit(0).alias("frame"), flags.alias("coil"), F.floor((F.col("kx") + 25) * 100 + F.col("ky") + 5).cast("long").alias("sample"), F.col("ky").alias("ky"), F.col("kx").alias("kx"), F.lit(1.0).alias("kw"), F.col("re").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    found = recon.reconstruct(spark, k, {"y": 16, "x": 64}, options=recon.Options(method="sos"))
+    return found.select("frame", "y", "x", _r("re", 1))
+
+
+#: Iterative or dense: no SQL.
+EXTRA |= {f.__name__: f for f in (svd_block_threshold, fft_blocks, wavelet_blocks, coil_whitening, coil_compression, voronoi_weights, reconstruct_sos)}
+
+
 def queries() -> dict[str, Query]:
     return dict(_Q) | EXTRA

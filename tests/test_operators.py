@@ -52,6 +52,28 @@ def test_voronoi_areas_fill_the_disc():
     assert (voronoi.cell_volumes(rng.normal(size=(30, 2)) * 20, 1.0) >= 0).all()
 
 
+def test_sphere_weights_cover_the_shell():
+    k = np.arange(400) + 0.5
+    z, turn = 1 - 2 * k / 400, np.pi * (1 + 5**0.5) * k
+    points = np.stack([np.sqrt(1 - z * z) * np.cos(turn), np.sqrt(1 - z * z) * np.sin(turn), z], 1) * 3
+    total = voronoi.sphere_weights(points).sum() / 3
+    assert total == pytest.approx(4 / 3 * np.pi * (17**3 - 15**3), rel=0.1)
+
+
+def test_phase_rotation_and_temporal_basis():
+    from larmor.operators import blocks
+
+    y, x = np.meshgrid(*[np.linspace(-1, 1, 16)] * 2, indexing="ij")
+    phase = np.exp(1j * (0.5 * x + 0.3 * y))
+    frames = np.stack([(1 + 0.1 * i) * np.ones((16, 16)) * phase for i in range(4)])
+    flat = frames * blocks.phase_rotation(frames).conj()
+    assert np.abs(np.angle(flat[:, 4:12, 4:12])).max() < 0.2
+    basis = blocks.temporal_basis(frames)
+    assert np.allclose(basis @ basis.conj().T, np.eye(4))
+    turned = np.tensordot(basis, frames, 1)
+    assert (np.abs(turned[0]) ** 2).sum() > 0.99 * (np.abs(frames) ** 2).sum()
+
+
 def test_density_weights_by_group(spark):
     rows = [(e, i, float(x), float(y)) for e in range(2) for i, (x, y) in enumerate([(a, b) for a in range(-3, 4) for b in range(-3, 4)])]
     got = voronoi.density_weights(spark.createDataFrame(rows, "encode int, sample long, kx double, ky double"), ["encode"], ["kx", "ky"], kmax=6.0)
