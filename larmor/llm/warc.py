@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
@@ -26,6 +29,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 #: Bytes of payload in one archive file, about; a longer payload has a file of its own size.
 FILE_BYTES = 16 << 20
+#: Up to so many shared payloads their table is sent to every executor; a larger one is joined by a shuffle.
+BROADCAST_PAYLOADS = 1_000_000
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, digest string, payload_bytes long, digest_ok boolean, payload binary"
 
 
@@ -58,7 +63,8 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     ).withColumn("sha1", F.sha1("html")).withColumn("bytes", F.octet_length("html").cast("long"))
     place = F.struct(F.col("page_id").isNull().alias("unnamed"), F.col("page_id").alias("id"), F.col("ordinal").alias("row"))
     shared = p.where(F.col("bytes") >= min_bytes).groupBy("sha1").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = p.join(shared.select(F.col("sha1").alias("of"), "first"), (F.col("sha1") == F.col("of")) & (F.col("bytes") >= min_bytes), "left")
+    shared = materialize(shared.select(F.col("sha1").alias("of"), "first"), "shared-payloads")
+    joined = p.join(F.broadcast(shared) if shared.count() <= BROADCAST_PAYLOADS else shared, (F.col("sha1") == F.col("of")) & (F.col("bytes") >= min_bytes), "left")
     again = F.col("first").isNotNull() & (F.col("first.row") != F.col("ordinal"))
     return joined.select(
         "page_id", "ordinal", "url", "html", "bytes", base32(F.col("sha1")).alias("digest"), again.alias("again"),
@@ -90,11 +96,14 @@ def render_records(planned: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Da
 
 
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
-    """Write ``pages`` as uncompressed WARC files of about ``file_bytes`` under ``path``."""
-    size = pages.agg(F.sum(F.coalesce(F.octet_length(html), F.lit(0)) + 1024)).first()[0] or 0
+    """Write ``pages`` as compressed WARC files of about ``file_bytes`` uncompressed bytes under ``path``.
+
+    Tasks write the pages they hold, in several files each; no page is moved.
+    """
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(html), F.lit(0)) + 1024)).first()[0] or 1024
     records = render_records(plan_records(pages, page_id, url, html, min_bytes))
-    files = max(1, -(-size // file_bytes))
-    records.repartition(files).write.option("lineSep", END_OF_RECORD).text(path)
+    per_file = max(3, int(3 * file_bytes / mean))
+    records.write.option("lineSep", END_OF_RECORD).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def _payload(kind: str, block: bytes) -> tuple[bytes | None, int | None]:
@@ -111,6 +120,18 @@ def _payload(kind: str, block: bytes) -> tuple[bytes | None, int | None]:
     return None, None
 
 
+def inflate(data: bytes) -> bytes:
+    """The archive's bytes: one or more gzip members, or not compressed."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[dict]:
     """Records of one archive by content lengths; raises on what is not WARC."""
     at = 0
@@ -145,7 +166,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 held, size = [], 0
-                for record in parse(content.as_py()):
+                for record in parse(inflate(content.as_py())):
                     if not payloads and record["type"] == "response":
                         record["payload"] = None
                     held.append(record)
