@@ -5,7 +5,7 @@ from then on.  Each distinct line has a signature of ``BANDS * ROWS`` minima ove
 (``SHINGLE`` characters from each word's start; the k-th permutation is a fixed mask over the 64-bit
 hash); equal bands make candidates.  In a band's bucket a line is compared with the bucket's first line
 and with its neighbours in a random order, never with all, and every comparison is the exact Jaccard
-similarity of all character 5-grams.  Lines that are alike enough meet in distributed union-find, and of
+similarity of the two whole sets of shingles.  Lines that are alike enough meet in distributed union-find, and of
 each component the first occurrence, by document id and line number, stays.
 """
 
@@ -21,25 +21,27 @@ from .components import connected_components
 
 BANDS, ROWS = 8, 3
 SHINGLE = 9
-GRAM = 5
 THRESHOLD = 0.8
 NEIGHBOURS = 3
 #: A table of so many ids or fewer is sent to every executor; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 _MASKS = [random.Random(i).getrandbits(63) for i in range(BANDS * ROWS)]
 
 
 def folded(line: Column) -> Column:
-    """A line as it is compared: lower case, runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), "\\s+", " "))
+    """A line as it is compared: lower case, no white space at the ends."""
+    return F.lower(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
+
+
+def shingles(line: Column) -> Column:
+    """For each word of a folded line the characters from its start, ``SHINGLE`` of them, across later words."""
+    return F.regexp_extract_all(line, F.lit(f"(?<!\\S)(?=(\\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the sets of 5-grams of characters; 0 where a line is shorter than a gram."""
-    grams = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
-    both = F.size(F.array_intersect(grams(a), grams(b)))
-    every = F.size(grams(a)) + F.size(grams(b)) - both
-    return F.when(every > 0, both / every).otherwise(0.0)
+    """Jaccard similarity of two arrays without repeats; 0 where both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.coalesce(both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0)), F.lit(0.0))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -58,9 +60,8 @@ def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def band_keys(lines: DataFrame) -> DataFrame:
     """``h1, h2, d, h, n, keys``: one 64-bit key for each band of a line's signature."""
-    shingles = F.regexp_extract_all("line", F.lit(f"(?<!\\S)(?=(\\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
     place = ("h1", "h2", "d", "h", "n")
-    exploded = lines.select(*place, F.explode(shingles).alias("s")).select(*place, F.xxhash64("s").alias("x"))
+    exploded = lines.select(*place, F.explode(shingles(F.col("line"))).alias("s")).select(*place, F.xxhash64("s").alias("x"))
     # The rows of a line lie in one partition already: this aggregation needs no exchange.
     minima = exploded.groupBy(*place).agg(*[F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_MASKS)])
     keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
@@ -68,7 +69,7 @@ def band_keys(lines: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """``a, b, hub`` (64-bit line keys, a < b): each line of a bucket with the bucket's first, and with neighbours.
+    """``a, b`` (64-bit line keys, a < b): each line of a bucket with the bucket's first, and with neighbours.
 
     The window runs forward only and holds ``NEIGHBOURS`` rows, whatever the size of a bucket.
     """
@@ -76,30 +77,32 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     order = Window.partitionBy("key").orderBy("a")
     hub = F.first("a").over(order.rowsBetween(Window.unboundedPreceding, 0))
     pairs = rows.select("a", F.array(hub, *[F.lag("a", i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("bs"))
-    pairs = pairs.where("bs[0] <> a").select("a", F.posexplode("bs").alias("i", "b")).where("b is not null and a <> b")
-    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(F.col("i") == 0).alias("hub"))
+    pairs = pairs.where("bs[0] <> a").select("a", F.explode("bs").alias("b")).where("b is not null and a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _maybe_broadcast(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``wanted(h1, h2, d, h, n)`` -> with ``line``, read from the documents that hold the first occurrences."""
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``wanted(h1, h2, d, h, n)`` -> ``h1, h2, s``: hashed shingles, read from the documents of the first occurrences."""
     by_doc = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("n", "h1", "h2")).alias("places"))
     joined = _keyed(docs, id_col, text_col).join(_maybe_broadcast(by_doc, wanted.count()), ["d", "h"]).withColumn("raw", F.split("text", "\n"))
     taken = F.transform("places", lambda p: F.struct(p["h1"].alias("h1"), p["h2"].alias("h2"), F.element_at("raw", p["n"] + 1).alias("raw")))
-    lines = joined.select("d", "h", F.explode(taken).alias("p")).select("p.h1", "p.h2", folded(F.col("p.raw")).alias("line"))
-    return lines.dropDuplicates(["h1", "h2"])
+    lines = joined.select(F.explode(taken).alias("p")).select("p.h1", "p.h2", folded(F.col("p.raw")).alias("line"))
+    hashed = F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))
+    return lines.select("h1", "h2", hashed.alias("s")).dropDuplicates(["h1", "h2"])
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of keys -> edges ``u, v`` of full keys of lines that are alike enough."""
     key = F.struct("h1", "h2")
-    one = texts.select(F.col("h1").alias("a"), key.alias("u"), F.col("line").alias("x"))
-    two = texts.select(F.col("h1").alias("b"), key.alias("v"), F.col("line").alias("y"))
-    near = pairs.join(one, "a").join(two, "b").where(F.length("x") * 10 >= F.length("y") * 3).where(F.length("y") * 10 >= F.length("x") * 3)
-    return near.where(similarity(F.col("x"), F.col("y")) >= threshold).select("u", "v")
+    one = sets.select(F.col("h1").alias("a"), key.alias("u"), F.col("s").alias("x"))
+    two = sets.select(F.col("h1").alias("b"), key.alias("v"), F.col("s").alias("y"))
+    near = pairs.join(one, "a").join(two, "b")
+    sized = near.where(F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * threshold)
+    return sized.where(similarity(F.col("x"), F.col("y")) >= threshold).select("u", "v")
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -108,14 +111,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = materialize(candidate_pairs(signed), "line-pairs")
     ids = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
     wanted = signed.select("h1", "h2", "d", "h", "n").join(_maybe_broadcast(ids, ids.count()), "h1")
-    texts = materialize(_texts(docs, wanted, id_col, text_col), "line-texts")
-    edges = materialize(_verify(pairs.where("hub"), texts, threshold), "line-edges")
-    known = materialize(connected_components(edges), "line-components")
-    # Neighbours only add what the hubs did not join.
-    of = texts.select("h1", F.struct("h1", "h2").alias("node")).join(known, "node", "left").select("h1", F.coalesce("root", "node").alias("root"))
-    apart = pairs.where("not hub").join(of.select(F.col("h1").alias("a"), F.col("root").alias("r")), "a").join(of.select(F.col("h1").alias("b"), F.col("root").alias("s")), "b").where("r <> s").select("a", "b").distinct()
-    more = _verify(apart, texts, threshold)
-    return signed, connected_components(edges.unionByName(more))
+    sets = materialize(_sets(docs, wanted, id_col, text_col), "line-sets")
+    return signed, connected_components(_verify(pairs, sets, threshold))
 
 
 def kept_places(signed: DataFrame, components: DataFrame) -> DataFrame:
@@ -140,7 +137,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     d = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     joined = docs.join(_maybe_broadcast(kept, kept.count()), (d == F.col("__d")) & (F.xxhash64(text_col) == F.col("__h")), "left")
     lines = F.split(F.col(text_col), "\n")
-    stays = lambda line, i: F.coalesce(F.array_contains(F.col("__kept"), i), F.lit(False)) | (F.trim(F.regexp_replace(line, "\\s+", " ")) == "")
+    stays = lambda line, i: F.coalesce(F.array_contains(F.col("__kept"), i), F.lit(False)) | (folded(line) == "")
     left = F.filter(lines, stays)
     return (
         joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
