@@ -2,8 +2,8 @@
 
 Lines are grouped by their folded text first, so a line that stands in very many documents is one row
 from then on.  Each distinct line has a signature of ``BANDS * ROWS`` minima over its character shingles
-(``SHINGLE`` characters from each word's start; the k-th permutation is a fixed mask over the 64-bit
-hash); equal bands make candidates.  In a band's bucket a line is compared with the bucket's first line
+(``GRAM`` characters from every position; the k-th permutation is a fixed mask over the 64-bit hash);
+equal bands make candidates.  In a band's bucket a line is compared with the bucket's first line
 and with its neighbours in a random order, never with all, and every comparison is the exact Jaccard
 similarity of the two whole sets of shingles.  Lines that are alike enough meet in distributed union-find, and of
 each component the first occurrence, by document id and line number, stays.
@@ -20,7 +20,8 @@ from .common import materialize
 from .components import connected_components
 
 BANDS, ROWS = 8, 3
-SHINGLE = 9
+GRAM = 5
+PIECE = 32
 THRESHOLD = 0.8
 NEIGHBOURS = 3
 #: A table of so many ids or fewer is sent to every executor; a larger one is joined by a shuffle.
@@ -33,9 +34,16 @@ def folded(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
 
 
-def shingles(line: Column) -> Column:
-    """For each word of a folded line the characters from its start, ``SHINGLE`` of them, across later words."""
-    return F.regexp_extract_all(line, F.lit(f"(?<!\\S)(?=(\\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
+def pieces(line: Column) -> Column:
+    """A folded line in pieces that start ``PIECE`` characters apart; each gram lies in one, a shorter line is one piece."""
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{GRAM},{PIECE + GRAM - 1}}}|^.{{1,{GRAM - 1}}}$)).{{1,{PIECE}}}"), F.lit(1))
+
+
+def grams(lines: DataFrame, *keep: str) -> DataFrame:
+    """``keep, x``: the hash of the ``GRAM`` characters from every position of ``line``; a shorter line is its own gram."""
+    parts = lines.select(*keep, F.explode(pieces(F.col("line"))).alias("p"))
+    places = parts.select(*keep, "p", F.explode(F.sequence(F.lit(1), F.greatest(F.length("p") - (GRAM - 1), F.lit(1)))).alias("i"))
+    return places.select(*keep, F.xxhash64(F.substring(F.col("p"), F.col("i"), F.lit(GRAM))).alias("x"))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -61,9 +69,8 @@ def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def band_keys(lines: DataFrame) -> DataFrame:
     """``h1, h2, d, h, n, keys``: one 64-bit key for each band of a line's signature."""
     place = ("h1", "h2", "d", "h", "n")
-    exploded = lines.select(*place, F.explode(shingles(F.col("line"))).alias("s")).select(*place, F.xxhash64("s").alias("x"))
     # The rows of a line lie in one partition already: this aggregation needs no exchange.
-    minima = exploded.groupBy(*place).agg(*[F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_MASKS)])
+    minima = grams(lines, *place).groupBy(*place).agg(*[F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_MASKS)])
     keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     return minima.select(*place, F.array(*keys).alias("keys"))
 
@@ -86,13 +93,12 @@ def _maybe_broadcast(table: DataFrame, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``wanted(h1, h2, d, h, n)`` -> ``h1, h2, s``: hashed shingles, read from the documents of the first occurrences."""
+    """``wanted(h1, h2, d, h, n)`` -> ``h1, h2, s``: the set of hashed grams, read from the documents of the first occurrences."""
     by_doc = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("n", "h1", "h2")).alias("places"))
     joined = _keyed(docs, id_col, text_col).join(_maybe_broadcast(by_doc, wanted.count()), ["d", "h"]).withColumn("raw", F.split("text", "\n"))
     taken = F.transform("places", lambda p: F.struct(p["h1"].alias("h1"), p["h2"].alias("h2"), F.element_at("raw", p["n"] + 1).alias("raw")))
     lines = joined.select(F.explode(taken).alias("p")).select("p.h1", "p.h2", folded(F.col("p.raw")).alias("line"))
-    hashed = F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))
-    return lines.select("h1", "h2", hashed.alias("s")).dropDuplicates(["h1", "h2"])
+    return grams(lines, "h1", "h2").groupBy("h1", "h2").agg(F.collect_set("x").alias("s"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
