@@ -3,10 +3,11 @@
 Lines are grouped by their folded text first, so a line that stands in very many documents is one row
 from then on.  Each distinct line has a signature of ``BANDS * ROWS`` minima over its character shingles
 (``GRAM`` characters from every position; the k-th permutation is a fixed mask over the 64-bit hash);
-equal bands make candidates.  In a band's bucket a line is compared with the bucket's first line
-and with its neighbours in a random order, never with all, and every comparison is the exact Jaccard
-similarity of the two whole sets of shingles.  Lines that are alike enough meet in distributed union-find, and of
-each component the first occurrence, by document id and line number, stays.
+equal bands make candidates.  A line is compared with the first line of each of its buckets; after that,
+whatever the size of a bucket, all its lines that are not in one component yet are compared with each other.
+A pair whose sketches of shingles differ in more bits than alike lines can is passed over, which loses none;
+every other comparison is the exact Jaccard similarity of the whole sets.  Lines that are alike enough meet
+in distributed union-find, and of each component the first occurrence, by document id and line number, stays.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from .components import connected_components
 BANDS, ROWS = 8, 3
 GRAM = 5
 PIECE = 32
+#: 64-bit words of a line's sketch.
+WORDS = 4
+#: Components of a bucket that one task compares with each other.
+BLOCK = 256
 THRESHOLD = 0.8
-NEIGHBOURS = 3
 #: A table of so many ids or fewer is sent to every executor; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _MASKS = [random.Random(i).getrandbits(63) for i in range(BANDS * ROWS)]
@@ -67,25 +71,55 @@ def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
-    """``h1, h2, d, h, n, keys``: one 64-bit key for each band of a line's signature."""
+    """``h1, h2, d, h, n, keys, sketch``: one 64-bit key for each band of a line's signature.
+
+    The sketch has the line's number of grams, repeats included, and ``WORDS`` words with a bit set for each gram.
+    """
     place = ("h1", "h2", "d", "h", "n")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright("x", 6).bitwiseAND(F.lit(WORDS - 1))
+    minima = [F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_MASKS)]
+    words = [F.bit_or(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
     # The rows of a line lie in one partition already: this aggregation needs no exchange.
-    minima = grams(lines, *place).groupBy(*place).agg(*[F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_MASKS)])
+    signed = grams(lines, *place).groupBy(*place).agg(*minima, *words, F.count("*").alias("w"))
     keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return minima.select(*place, F.array(*keys).alias("keys"))
+    return signed.select(*place, F.array(*keys).alias("keys"), F.struct("w", *[f"w{w}" for w in range(WORDS)]).alias("sketch"))
+
+
+def _possible(x: str, y: str, threshold: float) -> Column:
+    """False only for sketches of lines below the threshold: each bit that differs is a gram that one line lacks."""
+    apart = sum((F.bit_count(F.col(f"{x}.w{w}").bitwiseXOR(F.col(f"{y}.w{w}"))) for w in range(WORDS)), F.lit(0))
+    return apart <= (F.col(f"{x}.w") + F.col(f"{y}.w")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+
 
+def bucket_rows(signed: DataFrame) -> DataFrame:
+    """``key, hub, s, a, t``: the lines of each bucket with their sketch, beside the bucket's first line and its sketch."""
+    rows = signed.select(F.explode("keys").alias("key"), F.col("h1").alias("a"), F.col("sketch").alias("t"))
+    order = Window.partitionBy("key").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("key", F.first("a").over(order).alias("hub"), F.first("t").over(order).alias("s"), "a", "t")
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """``a, b`` (64-bit line keys, a < b): each line of a bucket with the bucket's first, and with neighbours.
 
-    The window runs forward only and holds ``NEIGHBOURS`` rows, whatever the size of a bucket.
+def hub_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """``a, b`` (64-bit line keys, a < b): each line of a bucket with the bucket's first."""
+    return rows.where("a <> hub").where(_possible("s", "t", threshold)).select(F.col("hub").alias("a"), F.col("a").alias("b")).distinct()
+
+
+def cross_pairs(rows: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """``a, b`` (a < b): all pairs of a bucket's lines in different components of ``known``, but those with its first line.
+
+    The components of a bucket are dealt into blocks and each pair of blocks is one group, so that no task holds a large bucket.
     """
-    rows = signed.select(F.explode("keys").alias("key"), F.col("h1").alias("a"))
-    order = Window.partitionBy("key").orderBy("a")
-    hub = F.first("a").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    pairs = rows.select("a", F.array(hub, *[F.lag("a", i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("bs"))
-    pairs = pairs.where("bs[0] <> a").select("a", F.explode("bs").alias("b")).where("b is not null and a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    shared = rows.where("a <> hub").select("key").distinct()
+    roots = known.select(F.col("node.h1").alias("a"), F.col("root.h1").alias("r"))
+    members = rows.join(shared, "key", "left_semi").join(roots, "a", "left").select("key", "hub", "a", "t", F.coalesce("r", "a").alias("r"))
+    groups = members.groupBy("key", "r").agg(F.collect_list(F.when(F.col("a") != F.col("hub"), F.struct("a", "t"))).alias("of")).where("size(of) > 0")
+    many = groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("k")).where("k > 1").drop("k")
+    dealt = groups.join(many, "key").withColumn("own", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "r", "of")
+    one = dealt.select("key", "lo", "hi", F.col("own").alias("o"), F.col("r").alias("q"), F.col("of").alias("xs"))
+    cells = dealt.join(one, ["key", "lo", "hi"]).where("q < r and (lo = hi or o <> own)")
+    pairs = cells.select(F.explode("xs").alias("x"), "of").select("x", F.explode("of").alias("y")).where(_possible("x.t", "y.t", threshold))
+    return pairs.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
 
 
 def _maybe_broadcast(table: DataFrame, rows: int) -> DataFrame:
@@ -114,11 +148,18 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(lines, components): every distinct line with its first occurrence, and ``(node, root)`` of fuzzy components."""
     signed = materialize(band_keys(distinct_lines(docs, id_col, text_col)), "line-bands")
-    pairs = materialize(candidate_pairs(signed), "line-pairs")
-    ids = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
-    wanted = signed.select("h1", "h2", "d", "h", "n").join(_maybe_broadcast(ids, ids.count()), "h1")
-    sets = materialize(_sets(docs, wanted, id_col, text_col), "line-sets")
-    return signed, connected_components(_verify(pairs, sets, threshold))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "line-pairs")
+        ids = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
+        wanted = signed.select("h1", "h2", "d", "h", "n").join(_maybe_broadcast(ids, ids.count()), "h1")
+        return materialize(_verify(pairs, materialize(_sets(docs, wanted, id_col, text_col), "line-sets"), threshold), "line-edges")
+
+    rows = bucket_rows(signed)
+    edges = alike(hub_pairs(rows, threshold))
+    known = connected_components(edges)
+    more = alike(cross_pairs(rows, known, threshold))
+    return signed, connected_components(edges.unionByName(more))
 
 
 def kept_places(signed: DataFrame, components: DataFrame) -> DataFrame:

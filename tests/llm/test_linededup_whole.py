@@ -60,3 +60,17 @@ def test_grams_of_long_lines(spark):
     want = [len(grams(x)) or 1 for x in lines]
     got = L.grams(spark.createDataFrame(list(enumerate(lines)), "id long, line string"), "id").groupBy("id").agg(F.count_distinct("x").alias("k")).orderBy("id").collect()
     assert [r["k"] for r in got] == want
+
+
+def test_every_pair_of_a_large_bucket(spark, monkeypatch):
+    # One long common part puts all lines in the same buckets; only the pairs of equal tails are alike.
+    monkeypatch.setattr(L, "BLOCK", 4)
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, docs = word(300), []
+    for i in range(60):
+        tail = word(110)
+        docs += [(2 * i, f"{common}{tail}"), (2 * i + 1, f"{common}{tail[:50]}{word(1)}#{tail[52:]}")]
+    want = brute(docs)
+    assert 50 <= len(want) <= 60
+    assert left(spark, docs) == want
