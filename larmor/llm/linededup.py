@@ -34,8 +34,11 @@ _MASKS = [random.Random(i).getrandbits(63) for i in range(BANDS * ROWS)]
 
 
 def folded(line: Column) -> Column:
-    """A line as it is compared: lower case, no white space at the ends."""
-    return F.lower(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
+    """A line as it is compared: lower case, runs of white space as one space, none at the ends."""
+    spaced = F.lower(line)
+    for white in "\t\r\x0b\x0c":
+        spaced = F.replace(spaced, F.lit(white), F.lit(" "))
+    return F.trim(F.when(spaced.contains("  "), F.regexp_replace(spaced, " +", " ")).otherwise(spaced))
 
 
 def pieces(line: Column) -> Column:

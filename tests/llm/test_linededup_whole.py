@@ -53,6 +53,10 @@ def test_whole_line_counts(spark):
     assert left(spark, docs) == {1, 2, 3, 4, 5}
 
 
+def test_inner_white_space_is_folded(spark):
+    assert left(spark, [(1, "Hello   World"), (2, "hello world"), (3, "hello \t world\r"), (4, "ab"), (5, "AB"), (6, "abc")]) == {1, 4, 6}
+
+
 def test_grams_of_long_lines(spark):
     rng = random.Random(2)
     lines = ["".join(rng.choice("abc ä中\U0001f600") for _ in range(n)).strip() or "x" for n in (1, 4, 5, 31, 32, 33, 36, 37, 64, 68, 69, 1000)]
