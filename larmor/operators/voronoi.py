@@ -6,6 +6,8 @@ different encodes are separate groups.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +31,8 @@ def merged(points: np.ndarray, least: float = 0.01) -> tuple[np.ndarray, np.ndar
     return points[centres], of
 
 
-def _polygon_area(centre: np.ndarray, normals: np.ndarray, offsets: np.ndarray, reach: float) -> float:
-    """Area of ``{x : normals x <= offsets}`` within a square of half side ``reach``."""
+def _polygon(centre: np.ndarray, normals: np.ndarray, offsets: np.ndarray, reach: float) -> tuple[float, np.ndarray]:
+    """Area and corners of ``{x : normals x <= offsets}`` within a square of half side ``reach``."""
     corners = centre + reach * np.array([[-1, -1], [1, -1], [1, 1], [-1, 1]], float)
     for n, o in zip(normals, offsets, strict=True):
         side = corners @ n - o
@@ -44,19 +46,19 @@ def _polygon_area(centre: np.ndarray, normals: np.ndarray, offsets: np.ndarray,
             if (s < 0 < t) or (t < 0 < s):
                 kept.append(a + (b - a) * (s / (s - t)))
         if len(kept) < 3:
-            return 0.0
+            return 0.0, np.zeros((0, 2))
         corners = np.array(kept)
     x, y = corners.T
-    return 0.5 * abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))
+    return 0.5 * abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))), corners
 
 
-def _polytope_volume(centre: np.ndarray, normals: np.ndarray, offsets: np.ndarray) -> float:
-    """Volume of a bounded polytope around ``centre``: each face's area times its distance, over three."""
-    volume = 0.0
+def _polytope(centre: np.ndarray, normals: np.ndarray, offsets: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Volume of a bounded polytope around ``centre``, its reach and which planes bear a face: each face's area times its distance, over three."""
+    volume, reach, bears = 0.0, 0.0, np.zeros(len(normals), bool)
     for i, (n, o) in enumerate(zip(normals, offsets, strict=True)):
         height = o - n @ centre
         if height < 0:
-            return 0.0
+            return 0.0, 0.0, bears
         u = np.cross(n, np.eye(3)[np.argmin(np.abs(n))])
         u /= np.linalg.norm(u)
         v = np.cross(n, u)
@@ -68,15 +70,37 @@ def _polytope_volume(centre: np.ndarray, normals: np.ndarray, offsets: np.ndarra
         if (left[size < 1e-12] < -1e-12).any():
             continue
         real = size > 1e-12
-        volume += height * _polygon_area(np.zeros(2), flat[real] / size[real, None], left[real] / size[real], 1e3) / 3
-    return volume
+        area, corners = _polygon(np.zeros(2), flat[real] / size[real, None], left[real] / size[real], 1e3)
+        volume += height * area / 3
+        bears[i] = len(corners) > 0
+        reach = max(reach, np.sqrt(height**2 + (corners**2).sum(1).max(initial=0)))
+    return volume, reach, bears
+
+
+def _clipped(cell: Callable[[np.ndarray], tuple[float, float, np.ndarray]], far: np.ndarray, first: int) -> float:
+    """Size of the cell that ``cell`` gives as (size, reach, points that bear a face) for walls to some points.
+
+    ``first`` nearest points come first, then as many more at a time, until the next is too far to cut.  A wall
+    without a face has none in a smaller cell either and is left out from then on.
+    """
+    order = np.argsort(far)
+    order = order[np.isfinite(far[order])]
+    first = max(first, 1)
+    k, walls = first, order[:first]
+    while True:
+        size, reach, bears = cell(walls)
+        more = order[k : k + first]
+        more = more[far[more] <= 2 * reach]
+        if not len(more):
+            return size
+        k, walls = k + first, np.concatenate([walls[bears], more])
 
 
 def cell_volumes(points: np.ndarray, radius: float, neighbours: int = 40) -> np.ndarray:
     """Cell of each point within a sphere (or circle) of ``radius`` around the origin; 0 for points outside.
 
     Walls are the planes halfway to the nearest points, the box, and the sphere's tangent plane outward of
-    the point.  Clipping stops once a further point is more than twice as far as the cell reaches.
+    the point.  ``neighbours`` points are taken first; clipping stops once a further point is more than twice as far as the cell reaches.
     """
     dim = points.shape[1]
     out = np.zeros(len(points))
@@ -88,14 +112,21 @@ def cell_volumes(points: np.ndarray, radius: float, neighbours: int = 40) -> np.
         d = points - p
         far = np.linalg.norm(d, axis=1)
         far[i] = np.inf
-        near = np.argsort(far)[: min(neighbours, len(points) - 1)]
-        normals = [*axes, *(d[near] / far[near, None])]
-        offsets = [*[radius] * (2 * dim), *((d[near] / far[near, None] * (points[near] + p) / 2).sum(1))]
-        if r > 1e-9:
-            normals.append(p / r)
-            offsets.append(radius)
-        normals, offsets = np.array(normals), np.array(offsets)
-        out[i] = _polygon_area(np.zeros(2), normals, offsets, radius) if dim == 2 else _polytope_volume(p, normals, offsets)
+
+        def cell(near: np.ndarray) -> tuple[float, float, np.ndarray]:
+            normals = [*axes, *(d[near] / far[near, None])]
+            offsets = [*[radius] * (2 * dim), *((d[near] / far[near, None] * (points[near] + p) / 2).sum(1))]
+            if r > 1e-9:
+                normals.append(p / r)
+                offsets.append(radius)
+            normals, offsets = np.array(normals), np.array(offsets)
+            if dim == 3:
+                volume, reach, bears = _polytope(p, normals, offsets)
+                return volume, reach, bears[2 * dim : 2 * dim + len(near)]
+            area, corners = _polygon(np.zeros(2), normals, offsets, radius)
+            return area, np.linalg.norm(corners - p, axis=1).max(initial=0), np.ones(len(near), bool)
+
+        out[i] = _clipped(cell, far, neighbours)
     return out
 
 
@@ -110,12 +141,15 @@ def sphere_weights(points: np.ndarray, radius: float = 16.0, neighbours: int = 4
         d = on - p
         far = np.linalg.norm(d, axis=1)
         far[far < 1e-9] = np.inf
-        near = np.argsort(far)[:neighbours]
-        near = near[np.isfinite(far[near])]
         n = p / radius
-        normals = np.array([*(d[near] / far[near, None]), n, -n, *np.eye(3), *-np.eye(3)])
-        offsets = np.array([*((d[near] / far[near, None] * (on[near] + p) / 2).sum(1)), radius + 1, 1 - radius, *[radius + 1] * 6])
-        out[i] = _polytope_volume(p, normals, offsets) * length[i]
+
+        def cell(near: np.ndarray) -> tuple[float, float, np.ndarray]:
+            normals = np.array([*(d[near] / far[near, None]), n, -n, *np.eye(3), *-np.eye(3)])
+            offsets = np.array([*((d[near] / far[near, None] * (on[near] + p) / 2).sum(1)), radius + 1, 1 - radius, *[radius + 1] * 6])
+            volume, reach, bears = _polytope(p, normals, offsets)
+            return volume, reach, bears[: len(near)]
+
+        out[i] = _clipped(cell, far, neighbours) * length[i]
     return out
 
 
