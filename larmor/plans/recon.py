@@ -254,7 +254,7 @@ def iterative_threshold(e: Encoding) -> tuple[DataFrame, list[float]]:
 
 
 def calibrationless(e: Encoding) -> tuple[DataFrame, list[float]]:
-    """Coil images kept apart, made alike by low-rank blocks over coils, then combined by block."""
+    """Coil images kept apart, made alike by low-rank blocks over coils, then combined as a root sum of squares, without phase."""
     o = e.options
     voxel = [*KEY, *e.names]
     coils_n = e.samples.agg(F.max("coil")).first()[0] + 1
