@@ -33,7 +33,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._scratch = [path]
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the scratch tables behind results of ``materialize`` that nothing reads any more; others are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in df.__dict__.pop("_scratch", []):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bounded_chunks(df: DataFrame, size: Column, limit: int) -> Iterator[list]:

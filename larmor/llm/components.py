@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
+
+#: A round over so many edges or fewer sends its minima to every executor (two rows an edge at most).
+BROADCAST_EDGES = 250_000
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -35,13 +38,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
+        held: list[DataFrame] = []
+
+        def minima(found: DataFrame, rows: int = seen[0], held: list = held) -> DataFrame:
+            """As a table of its own, so that the join can split a hub's rows."""
+            if rows <= BROADCAST_EDGES:
+                return F.broadcast(found)
+            held.append(materialize(found, "minima"))
+            return held[-1]
+
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        low = minima(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = _larger_first(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(_larger_first(large), "edges")
+        low = minima(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = materialize(_larger_first(small), "edges")
+        after = materialize(_larger_first(small), "edges")
+        discard(edges, large, *held)
+        edges = after
         now = _signature(edges)
         if now == seen:
             break
@@ -49,6 +63,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select("v").distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select(F.col("v").alias("node"), F.col("v").alias("root"))
     )
+    found._scratch = edges._scratch
+    return found

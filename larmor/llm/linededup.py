@@ -1,13 +1,17 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
 Lines are grouped by their folded text first, so a line that stands in very many documents is one row
-from then on.  Each distinct line has a signature of ``BANDS * ROWS`` minima over its character shingles
-(``GRAM`` characters from every position; the k-th permutation is a fixed mask over the 64-bit hash);
-equal bands make candidates.  A line is compared with the first line of each of its buckets; after that,
-whatever the size of a bucket, all its lines that are not in one component yet are compared with each other.
-A pair whose sketches of shingles differ in more bits than alike lines can is passed over, which loses none;
-every other comparison is the exact Jaccard similarity of the whole sets.  Lines that are alike enough meet
-in distributed union-find, and of each component the first occurrence, by document id and line number, stays.
+from then on.  Each distinct line has a signature over its character shingles (``GRAM`` code points from
+every position): ``HASHES`` independent hashes, and under each the minima of ``MASKS`` permutations that
+look at different parts of the hash's range.  A band takes one minimum from each hash; equal bands make
+candidates.  A line is compared with the first line of each of its buckets; after that, whatever the size
+of a bucket, all its lines that are not in one component yet are compared with each other.  A candidate pair
+is passed over where two bits of each minimum agree in fewer than ``AGREE`` places; every other one is
+decided by the exact Jaccard similarity of the whole sets.  Lines that are alike enough meet in distributed
+union-find, and of each component the first occurrence, by document id and line number, stays.
+
+What is missed, by the binomial formulas: of pairs at similarity 0.8 some 0.6 % share no band and 0.01 % of the
+others fall short of ``AGREE``; both shares fall quickly above 0.8.
 """
 
 from __future__ import annotations
@@ -17,20 +21,25 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import connected_components
 
-BANDS, ROWS = 8, 3
+HASHES, MASKS, BANDS = 4, 8, 12
 GRAM = 5
-PIECE = 32
-#: 64-bit words of a line's sketch.
-WORDS = 4
+#: Grams that one row of the signature's aggregation holds.
+STEP = 6
+#: Least places of ``HASHES * MASKS`` in which two bits of the minima agree.
+AGREE = 20
 #: Components of a bucket that one task compares with each other.
 BLOCK = 256
 THRESHOLD = 0.8
-#: A table of so many ids or fewer is sent to every executor; a larger one is joined by a shuffle.
+#: So many line numbers or keys are sent to every executor; a larger table is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-_MASKS = [random.Random(i).getrandbits(63) for i in range(BANDS * ROWS)]
+#: Masks under one hash start with different bits, so that their minima come from different eighths of its range.
+_MASKS = [(((m << 61) | random.Random(m).getrandbits(61)) ^ (1 << 63)) - (1 << 63) for m in range(MASKS)]
+#: For each band the mask whose minimum it takes from each hash: every mask is used about equally often.
+_BANDS = list(zip(*[(random.Random(97 * r).sample(range(MASKS), MASKS) + random.Random(97 * r + 1).sample(range(MASKS), MASKS))[:BANDS] for r in range(HASHES)], strict=True))
+_ODD = int("01" * 32, 2)
 
 
 def folded(line: Column) -> Column:
@@ -41,16 +50,27 @@ def folded(line: Column) -> Column:
     return F.trim(F.when(spaced.contains("  "), F.regexp_replace(spaced, " +", " ")).otherwise(spaced))
 
 
-def pieces(line: Column) -> Column:
-    """A folded line in pieces that start ``PIECE`` characters apart; each gram lies in one, a shorter line is one piece."""
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{GRAM},{PIECE + GRAM - 1}}}|^.{{1,{GRAM - 1}}}$)).{{1,{PIECE}}}"), F.lit(1))
+def _code(line: Column) -> Column:
+    """Four bytes for each code point, so that a gram is found at once wherever it stands."""
+    return F.encode(line, "UTF-32")
+
+
+def _last(line: Column) -> Column:
+    return F.greatest(F.length(line) - GRAM, F.lit(0))
+
+
+def _gram(code: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(code, at * 4 + 1, F.lit(4 * GRAM)))
+
+
+def gram_set(line: Column, code: Column) -> Column:
+    """Hashes of the ``GRAM`` code points from every position, without repeats; a shorter line is its own gram."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(line)), lambda i: _gram(code, i)))
 
 
 def grams(lines: DataFrame, *keep: str) -> DataFrame:
-    """``keep, x``: the hash of the ``GRAM`` characters from every position of ``line``; a shorter line is its own gram."""
-    parts = lines.select(*keep, F.explode(pieces(F.col("line"))).alias("p"))
-    places = parts.select(*keep, "p", F.explode(F.sequence(F.lit(1), F.greatest(F.length("p") - (GRAM - 1), F.lit(1)))).alias("i"))
-    return places.select(*keep, F.xxhash64(F.substring(F.col("p"), F.col("i"), F.lit(GRAM))).alias("x"))
+    """``keep, x``: ``gram_set`` of ``line``, a row for each gram."""
+    return lines.withColumn("code", _code(F.col("line"))).select(*keep, F.explode(gram_set(F.col("line"), F.col("code"))).alias("x"))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -74,54 +94,70 @@ def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
-    """``h1, h2, d, h, n, keys, sketch``: one 64-bit key for each band of a line's signature.
+    """``h1, h2, d, h, n, keys, bits``: one 64-bit key for each band of a line's signature, and two bits of each minimum.
 
-    The sketch has the line's number of grams, repeats included, and ``WORDS`` words with a bit set for each gram.
+    A row of the aggregation holds ``STEP`` grams; the last row of a line repeats the last gram, which changes no minimum.
+    The rows of a line lie in one partition already: the aggregation needs no exchange.
     """
     place = ("h1", "h2", "d", "h", "n")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
-    word = F.shiftright("x", 6).bitwiseAND(F.lit(WORDS - 1))
-    minima = [F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_MASKS)]
-    words = [F.bit_or(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
-    # The rows of a line lie in one partition already: this aggregation needs no exchange.
-    signed = grams(lines, *place).groupBy(*place).agg(*minima, *words, F.count("*").alias("w"))
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select(*place, F.array(*keys).alias("keys"), F.struct("w", *[f"w{w}" for w in range(WORDS)]).alias("sketch"))
+    coded = lines.select(*place, _code(F.col("line")).alias("code"), _last(F.col("line")).alias("last"))
+    rows = coded.select(*place, "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
+    rows = rows.select(*place, *[_gram(F.col("code"), F.least(F.col("i") + j, F.col("last"))).alias(f"x0_{j}") for j in range(STEP)])
+    rows = rows.select(*rows.columns, *[F.xxhash64(F.lit(r), f"x0_{j}").alias(f"x{r}_{j}") for r in range(1, HASHES) for j in range(STEP)])
+    minimum = lambda r, m: F.min(F.least(*[F.col(f"x{r}_{j}").bitwiseXOR(F.lit(_MASKS[m])) for j in range(STEP)]))
+    signed = rows.groupBy(*place).agg(*[minimum(r, m).alias(f"m{r}_{m}") for r in range(HASHES) for m in range(MASKS)])
+    keys = [F.xxhash64(F.lit(b), *[f"m{r}_{m}" for r, m in enumerate(band)]) for b, band in enumerate(_BANDS)]
+    # The low bits of a minimum are hashed again: for a line of one gram they would be those of the gram.
+    two = [F.xxhash64(f"m{r}_{m}").bitwiseAND(F.lit(3)) for r in range(HASHES) for m in range(MASKS)]
+    bits = two[0]
+    for k, column in enumerate(two[1:], 1):
+        bits = bits.bitwiseOR(F.shiftleft(column, 2 * k))
+    return signed.select(*place, F.array(*keys).alias("keys"), bits.alias("bits"))
+
+
+def _possible(x: str, y: str) -> Column:
+    """True if two bits of each minimum agree in ``AGREE`` places or more."""
+    apart = F.col(x).bitwiseXOR(F.col(y))
+    return F.lit(HASHES * MASKS) - F.bit_count(apart.bitwiseOR(F.shiftrightunsigned(apart, 1)).bitwiseAND(F.lit(_ODD))) >= AGREE
 
 
-def _possible(x: str, y: str, threshold: float) -> Column:
-    """False only for sketches of lines below the threshold: each bit that differs is a gram that one line lacks."""
-    apart = sum((F.bit_count(F.col(f"{x}.w{w}").bitwiseXOR(F.col(f"{y}.w{w}"))) for w in range(WORDS)), F.lit(0))
-    return apart <= (F.col(f"{x}.w") + F.col(f"{y}.w")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+def bucket_rows(signed: DataFrame) -> DataFrame:
+    """``key, hub, a``: the lines of each bucket of two or more, beside the bucket's first line."""
+    rows = signed.select(F.explode("keys").alias("key"), F.col("h1").alias("a"))
+    bucket = Window.partitionBy("key").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
+    # A hot bucket is not gathered: its rows pass in order, each beside the first and the one before it.
+    found = rows.select("key", "a", F.first("a").over(bucket).alias("hub"))
+    shared = found.where("a <> hub")
+    return shared.select("key", "hub", "a")
 
 
-def bucket_rows(signed: DataFrame) -> DataFrame:
-    """``key, hub, s, a, t``: the lines of each bucket with their sketch, beside the bucket's first line and its sketch."""
-    rows = signed.select(F.explode("keys").alias("key"), F.col("h1").alias("a"), F.col("sketch").alias("t"))
-    order = Window.partitionBy("key").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("key", F.first("a").over(order).alias("hub"), F.first("t").over(order).alias("s"), "a", "t")
+def with_bits(pairs: DataFrame, signed: DataFrame, *names: str) -> DataFrame:
+    """Each named column of 64-bit line keys gets the line's bits beside it, as ``<name>_bits``."""
+    for name in names:
+        pairs = pairs.join(signed.select(F.col("h1").alias(name), F.col("bits").alias(f"{name}_bits")), name)
+    return pairs
 
 
-def hub_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+def hub_pairs(rows: DataFrame, signed: DataFrame) -> DataFrame:
     """``a, b`` (64-bit line keys, a < b): each line of a bucket with the bucket's first."""
-    return rows.where("a <> hub").where(_possible("s", "t", threshold)).select(F.col("hub").alias("a"), F.col("a").alias("b")).distinct()
+    pairs = rows.select(F.col("hub").alias("a"), F.col("a").alias("b")).distinct()
+    return with_bits(pairs, signed, "a", "b").where(_possible("a_bits", "b_bits")).select("a", "b")
 
 
-def cross_pairs(rows: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+def cross_pairs(rows: DataFrame, signed: DataFrame, known: DataFrame) -> DataFrame:
     """``a, b`` (a < b): all pairs of a bucket's lines in different components of ``known``, but those with its first line.
 
     The components of a bucket are dealt into blocks and each pair of blocks is one group, so that no task holds a large bucket.
     """
-    shared = rows.where("a <> hub").select("key").distinct()
     roots = known.select(F.col("node.h1").alias("a"), F.col("root.h1").alias("r"))
-    members = rows.join(shared, "key", "left_semi").join(roots, "a", "left").select("key", "hub", "a", "t", F.coalesce("r", "a").alias("r"))
-    groups = members.groupBy("key", "r").agg(F.collect_list(F.when(F.col("a") != F.col("hub"), F.struct("a", "t"))).alias("of")).where("size(of) > 0")
+    members = rows.join(roots, "a", "left").select("key", "a", F.coalesce("r", "a").alias("r"))
+    groups = with_bits(members, signed, "a").groupBy("key", "r").agg(F.collect_list(F.struct("a", F.col("a_bits").alias("t"))).alias("of"))
     many = groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("k")).where("k > 1").drop("k")
     dealt = groups.join(many, "key").withColumn("own", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "r", "of")
     one = dealt.select("key", "lo", "hi", F.col("own").alias("o"), F.col("r").alias("q"), F.col("of").alias("xs"))
     cells = dealt.join(one, ["key", "lo", "hi"]).where("q < r and (lo = hi or o <> own)")
-    pairs = cells.select(F.explode("xs").alias("x"), "of").select("x", F.explode("of").alias("y")).where(_possible("x.t", "y.t", threshold))
+    pairs = cells.select(F.explode("xs").alias("x"), "of").select("x", F.explode("of").alias("y")).where(_possible("x.t", "y.t"))
     return pairs.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
 
 
@@ -129,22 +165,23 @@ def _maybe_broadcast(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``wanted(h1, h2, d, h, n)`` -> ``h1, h2, s``: the set of hashed grams, read from the documents of the first occurrences."""
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``wanted(h1, h2, d, h, n)`` -> ``h1, h2, line``, read from the documents of the first occurrences."""
     by_doc = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("n", "h1", "h2")).alias("places"))
     joined = _keyed(docs, id_col, text_col).join(_maybe_broadcast(by_doc, wanted.count()), ["d", "h"]).withColumn("raw", F.split("text", "\n"))
     taken = F.transform("places", lambda p: F.struct(p["h1"].alias("h1"), p["h2"].alias("h2"), F.element_at("raw", p["n"] + 1).alias("raw")))
     lines = joined.select(F.explode(taken).alias("p")).select("p.h1", "p.h2", folded(F.col("p.raw")).alias("line"))
-    return grams(lines, "h1", "h2").groupBy("h1", "h2").agg(F.collect_set("x").alias("s"))
+    return lines.dropDuplicates(["h1", "h2"])  # rows of documents may repeat
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs of keys -> edges ``u, v`` of full keys of lines that are alike enough."""
     key = F.struct("h1", "h2")
-    one = sets.select(F.col("h1").alias("a"), key.alias("u"), F.col("s").alias("x"))
-    two = sets.select(F.col("h1").alias("b"), key.alias("v"), F.col("s").alias("y"))
-    near = pairs.join(one, "a").join(two, "b")
-    sized = near.where(F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * threshold)
+    one = texts.select(F.col("h1").alias("a"), key.alias("u"), F.col("line").alias("x"))
+    two = texts.select(F.col("h1").alias("b"), key.alias("v"), F.col("line").alias("y"))
+    near = pairs.join(one, "a").join(two, "b").withColumn("cx", _code(F.col("x"))).withColumn("cy", _code(F.col("y")))
+    sets = near.select("u", "v", gram_set(F.col("x"), F.col("cx")).alias("x"), gram_set(F.col("y"), F.col("cy")).alias("y"))
+    sized = sets.where(F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * threshold)
     return sized.where(similarity(F.col("x"), F.col("y")) >= threshold).select("u", "v")
 
 
@@ -152,17 +189,22 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(lines, components): every distinct line with its first occurrence, and ``(node, root)`` of fuzzy components."""
     signed = materialize(band_keys(distinct_lines(docs, id_col, text_col)), "line-bands")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "line-pairs")
+    def alike(found: DataFrame) -> DataFrame:
+        pairs = materialize(found, "line-pairs")
         ids = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
         wanted = signed.select("h1", "h2", "d", "h", "n").join(_maybe_broadcast(ids, ids.count()), "h1")
-        return materialize(_verify(pairs, materialize(_sets(docs, wanted, id_col, text_col), "line-sets"), threshold), "line-edges")
+        texts = materialize(_texts(docs, wanted, id_col, text_col), "line-texts")
+        edges = materialize(_verify(pairs, texts, threshold), "line-edges")
+        discard(pairs, texts)
+        return edges
 
-    rows = bucket_rows(signed)
-    edges = alike(hub_pairs(rows, threshold))
+    rows = materialize(bucket_rows(signed), "line-buckets")
+    edges = alike(hub_pairs(rows, signed))
     known = connected_components(edges)
-    more = alike(cross_pairs(rows, known, threshold))
-    return signed, connected_components(edges.unionByName(more))
+    more = alike(cross_pairs(rows, signed, known))
+    found = connected_components(edges.unionByName(more))
+    discard(rows, edges, more, known)
+    return signed, found
 
 
 def kept_places(signed: DataFrame, components: DataFrame) -> DataFrame:
@@ -183,16 +225,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     """
     signed, components = duplicate_lines(docs, id_col, text_col, threshold)
     kept = materialize(kept_places(signed, components), "kept-lines")
+    discard(signed, components)
+    numbers = kept.agg(F.sum(F.size("kept"))).first()[0] or 0
     kept = kept.select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("kept").alias("__kept"))
     d = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    joined = docs.join(_maybe_broadcast(kept, kept.count()), (d == F.col("__d")) & (F.xxhash64(text_col) == F.col("__h")), "left")
+    joined = docs.join(_maybe_broadcast(kept, numbers), (d == F.col("__d")) & (F.xxhash64(text_col) == F.col("__h")), "left")
     lines = F.split(F.col(text_col), "\n")
-    stays = lambda line, i: F.coalesce(F.array_contains(F.col("__kept"), i), F.lit(False)) | (folded(line) == "")
-    left = F.filter(lines, stays)
+    blank = F.filter(F.transform(lines, lambda line, i: F.when(folded(line) == "", i)), lambda i: i.isNotNull())
+    places = F.array_sort(F.array_union(F.coalesce("__kept", F.array().cast("array<int>")), blank))
+    left = F.transform(places, lambda i: F.get(F.col("__lines"), i))
     return (
-        joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
+        joined.withColumn("__lines", lines)
+        .withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines")).cast("long"))
         .withColumn("__left", left)
         .withColumn("n_kept", F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__left")).cast("long"))
         .withColumn(text_col, F.when(F.col("n_kept") == F.col("n_lines"), F.col(text_col)).otherwise(F.array_join("__left", "\n")))
-        .drop("__d", "__h", "__kept", "__left")
+        .drop("__d", "__h", "__kept", "__lines", "__left")
     )
