@@ -42,12 +42,21 @@ _BANDS = list(zip(*[(random.Random(97 * r).sample(range(MASKS), MASKS) + random.
 _ODD = int("01" * 32, 2)
 
 
+#: White space inside lines, as it is folded.
+_WHITE = " \t\r\x0b\x0c"
+
+
 def folded(line: Column) -> Column:
     """A line as it is compared: lower case, runs of white space as one space, none at the ends."""
-    spaced = F.lower(line)
-    for white in "\t\r\x0b\x0c":
-        spaced = F.replace(spaced, F.lit(white), F.lit(" "))
-    return F.trim(F.when(spaced.contains("  "), F.regexp_replace(spaced, " +", " ")).otherwise(spaced))
+    uneven = line.contains("  ")
+    for white in _WHITE[1:]:
+        uneven = uneven | line.contains(white)
+    return F.lower(F.trim(F.when(uneven, F.regexp_replace(line, f"[{_WHITE}]+", " ")).otherwise(line)))
+
+
+def blank(line: Column) -> Column:
+    """True where the folded line is empty; found without folding it."""
+    return ~line.rlike(f"[^{_WHITE}]")
 
 
 def _code(line: Column) -> Column:
@@ -55,22 +64,25 @@ def _code(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def _last(line: Column) -> Column:
-    return F.greatest(F.length(line) - GRAM, F.lit(0))
+def _last(code: Column) -> Column:
+    """Place of the last gram, counted from 0."""
+    return F.greatest((F.octet_length(code) / 4).cast("int") - GRAM, F.lit(0))
 
 
 def _gram(code: Column, at: Column) -> Column:
     return F.xxhash64(F.substring(code, at * 4 + 1, F.lit(4 * GRAM)))
 
 
-def gram_set(line: Column, code: Column) -> Column:
+def gram_set(line: Column) -> Column:
     """Hashes of the ``GRAM`` code points from every position, without repeats; a shorter line is its own gram."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(line)), lambda i: _gram(code, i)))
+    # The array of one binds the code to a variable; as a plain expression it would be made anew for every gram.
+    of = lambda code: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(code)), lambda i: _gram(code, i)))
+    return F.element_at(F.transform(F.array(_code(line)), of), 1)
 
 
 def grams(lines: DataFrame, *keep: str) -> DataFrame:
     """``keep, x``: ``gram_set`` of ``line``, a row for each gram."""
-    return lines.withColumn("code", _code(F.col("line"))).select(*keep, F.explode(gram_set(F.col("line"), F.col("code"))).alias("x"))
+    return lines.select(*keep, F.explode(gram_set(F.col("line"))).alias("x"))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -87,7 +99,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Distinct folded lines that are not blank: ``h1, h2`` (128-bit key), ``d, h, n`` (first occurrence), ``line``."""
-    lines = _keyed(docs, id_col, text_col).select("d", "h", F.posexplode(F.split("text", "\n")).alias("n", "raw")).withColumn("line", folded(F.col("raw"))).where("line <> ''")
+    lines = _keyed(docs, id_col, text_col).select("d", "h", F.posexplode(F.split("text", "\n")).alias("n", "raw")).where(~blank(F.col("raw"))).withColumn("line", folded(F.col("raw")))
     hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "d", "h", "n", "line")
     grouped = hashed.groupBy("h1", "h2").agg(F.min(F.struct("d", "h", "n")).alias("at"), F.first("line").alias("line"))
     return grouped.select("h1", "h2", "at.d", "at.h", "at.n", "line")
@@ -100,7 +112,7 @@ def band_keys(lines: DataFrame) -> DataFrame:
     The rows of a line lie in one partition already: the aggregation needs no exchange.
     """
     place = ("h1", "h2", "d", "h", "n")
-    coded = lines.select(*place, _code(F.col("line")).alias("code"), _last(F.col("line")).alias("last"))
+    coded = lines.select(*place, _code(F.col("line")).alias("code")).withColumn("last", _last(F.col("code")))
     rows = coded.select(*place, "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
     rows = rows.select(*place, *[_gram(F.col("code"), F.least(F.col("i") + j, F.col("last"))).alias(f"x0_{j}") for j in range(STEP)])
     rows = rows.select(*rows.columns, *[F.xxhash64(F.lit(r), f"x0_{j}").alias(f"x{r}_{j}") for r in range(1, HASHES) for j in range(STEP)])
@@ -179,8 +191,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     key = F.struct("h1", "h2")
     one = texts.select(F.col("h1").alias("a"), key.alias("u"), F.col("line").alias("x"))
     two = texts.select(F.col("h1").alias("b"), key.alias("v"), F.col("line").alias("y"))
-    near = pairs.join(one, "a").join(two, "b").withColumn("cx", _code(F.col("x"))).withColumn("cy", _code(F.col("y")))
-    sets = near.select("u", "v", gram_set(F.col("x"), F.col("cx")).alias("x"), gram_set(F.col("y"), F.col("cy")).alias("y"))
+    near = pairs.join(one, "a").join(two, "b")
+    sets = near.select("u", "v", gram_set(F.col("x")).alias("x"), gram_set(F.col("y")).alias("y"))
     sized = sets.where(F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * threshold)
     return sized.where(similarity(F.col("x"), F.col("y")) >= threshold).select("u", "v")
 
@@ -231,8 +243,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     d = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     joined = docs.join(_maybe_broadcast(kept, numbers), (d == F.col("__d")) & (F.xxhash64(text_col) == F.col("__h")), "left")
     lines = F.split(F.col(text_col), "\n")
-    blank = F.filter(F.transform(lines, lambda line, i: F.when(folded(line) == "", i)), lambda i: i.isNotNull())
-    places = F.array_sort(F.array_union(F.coalesce("__kept", F.array().cast("array<int>")), blank))
+    blanks = F.filter(F.transform("__lines", lambda line, i: F.when(blank(line), i)), lambda i: i.isNotNull())
+    places = F.array_sort(F.array_union(F.coalesce("__kept", F.array().cast("array<int>")), blanks))
     left = F.transform(places, lambda i: F.get(F.col("__lines"), i))
     return (
         joined.withColumn("__lines", lines)
