@@ -51,7 +51,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc32_of("doc_id") % 10 == 0
-    got = ctw.score(docs, docs.where(~held_out))
+    got = ctw.score(docs, ~held_out)
     return got.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
