@@ -1,16 +1,16 @@
 """Chat formatting by event-sourced reconstruction, in DataFrame functions only.
 
 A log of events is folded into final messages, and these are rendered with a template of control
-strings and a loss mask.  Events are dealt out by conversation and turn and folded in order of their
-sequence: ``message``, ``edit`` and ``regenerate`` start the turn's text anew, ``delta`` adds to it, and
-``regenerate`` also retracts all later turns that came before it.  A long conversation is rendered in
+strings and a loss mask.  Events are dealt out by conversation, turn and message and folded in order of their
+sequence: ``message``, ``edit`` and ``regenerate`` start the message's text anew, ``delta`` adds to it, and
+``regenerate`` also retracts all events of later turns that came before it.  A long conversation is rendered in
 parts of ``PART_TURNS`` messages, so that no group grows with the conversation; only its finished parts
 meet in one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_TURNS = 64
@@ -33,25 +33,53 @@ def unescape(text: Column, escapes: tuple[tuple[str, str], ...] = ESCAPES) -> Co
     return text
 
 
-def fold_events(events: DataFrame, conv: str = "conv_id", turn: str = "turn", seq: str = "seq", kind: str = "kind", role: str = "role", text: str = "text") -> DataFrame:
+def event_log(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", streamed: str = "assistant") -> DataFrame:
+    """The log that such messages leave: ``conv_id, turn, message, seq, kind, role, text``; folding it gives them back.
+
+    Every message begins as a draft.  One of the role ``streamed`` is then regenerated, which retracts the drafts
+    of later turns, and streamed in two deltas; any other is sent with the first half of its text and edited.
+    Messages of one turn, repeated rows too, are told apart by ``message``, their number by role and text.  Null
+    texts are empty; null conversations, turns and roles stay.  No rows give no rows.
+    """
+    body, half = F.coalesce(F.col(text), F.lit("")), F.expr("int(length(__body) / 2)")
+    m = messages.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), body.alias("__body"))
+    m = m.withColumn("message", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "__body")))
+    one, two = F.substring(F.col("__body"), F.lit(1), half), F.substring(F.col("__body"), half + 1, F.length("__body"))
+    event = lambda seq, kind, said: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), said.alias("text"))
+    draft = event(-1, "message", F.lit("draft"))
+    stream = F.array(draft, event(0, "regenerate", F.lit("")), event(1, "delta", one), event(2, "delta", two))
+    sent = F.array(draft, event(1, "message", one), event(2, "edit", F.col("__body")))
+    logged = m.withColumn("e", F.explode(F.when(F.col("role") == streamed, stream).otherwise(sent)))
+    return logged.select("conv_id", "turn", "message", "e.seq", "e.kind", "role", "e.text")
+
+
+def fold_events(events: DataFrame, conv: str = "conv_id", turn: str = "turn", seq: str = "seq", kind: str = "kind", role: str = "role", text: str = "text", message: str | None = None) -> DataFrame:
     """Events -> ``conv_id, turn, role, text`` of the messages that stand at the end of the log.
 
-    A null kind counts as ``message``, a null text as empty, and a turn has the role of its last event
-    that names one.  A delta before any message opens the turn.  Repeated events apply again: a repeated
-    message changes nothing, a repeated delta adds its text twice.  Equal sequence numbers are applied in
-    order of kind and text.  A null conversation is a conversation of its own.
+    A turn has one message, or one for each value of the column ``message``.  A null kind counts as ``message``, a
+    null text as empty, and a message has the role of its last event that names one.  A delta before any message
+    opens it.  Repeated events apply again: a repeated message changes nothing, a repeated delta adds its text
+    twice.  Equal sequence numbers are applied in order of kind and text.  A null conversation is a conversation of
+    its own, a null turn comes before all others.  No rows give no rows.
     """
     e = events.select(
-        F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(seq).alias("seq"), F.coalesce(F.col(kind), F.lit("message")).alias("kind"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
+        F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), (F.col(message) if message else F.lit(0)).alias("message"), F.col(seq).alias("seq"),
+        F.coalesce(F.col(kind), F.lit("message")).alias("kind"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     step = F.struct("seq", "kind", "text", "role")
-    turns = e.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    # The last retraction of each turn and of those before it reaches the turns after them.
-    cuts = e.where("kind = 'regenerate'").groupBy(F.col("conv_id").alias("of")).agg(F.collect_set(F.struct("turn", "seq")).alias("cuts"))
-    turns = turns.join(cuts, F.col("conv_id").eqNullSafe(F.col("of")), "left")
-    reaching = F.filter("cuts", lambda c: c["turn"] < F.col("turn"))
-    cut = F.array_max(F.transform(reaching, lambda c: c["seq"]))
-    alive = F.filter("steps", lambda s: cut.isNull() | (s["seq"] > cut))
+    turns = e.groupBy("conv_id", "turn", "message").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    # What retracts a turn is the last regeneration of any turn before it.  It is found in parts of the conversation:
+    # the maximum of the parts before, and inside the part that of the turns before.
+    part = F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(-(1 << 62))).cast("long")
+    cuts = e.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("cut")).withColumn("part", part)
+    parts = cuts.groupBy("conv_id", "part").agg(F.max("cut").alias("cut"))
+    before = F.max("cut").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col("conv_id").alias("pc"), F.col("part").alias("pp"), before.alias("earlier"))
+    inside = F.max("cut").over(Window.partitionBy("conv_id", "part").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    cuts = cuts.withColumn("inside", inside).join(parts, F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("part") == F.col("pp")))
+    cuts = cuts.select(F.col("conv_id").alias("of"), F.col("turn").alias("at"), F.greatest("inside", "earlier").alias("cut")).where("cut is not null")
+    turns = turns.join(cuts, F.col("conv_id").eqNullSafe(F.col("of")) & F.col("turn").eqNullSafe(F.col("at")), "left")
+    alive = F.filter("steps", lambda s: F.col("cut").isNull() | (s["seq"] > F.col("cut")))
     state = F.struct(F.lit("").alias("text"), F.lit(None).cast("string").alias("role"))
     apply = lambda acc, s: F.struct(
         F.when(s["kind"] == "delta", F.concat(acc["text"], s["text"])).otherwise(s["text"]).alias("text"), F.coalesce(s["role"], acc["role"]).alias("role")

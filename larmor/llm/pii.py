@@ -164,17 +164,25 @@ def parse_account(text: str, cue_stop: int) -> tuple[int, int] | None:
     return None
 
 
-def parse_address(text: str, scheme_start: int, scheme_stop: int) -> tuple[int, int] | None:
-    """A web, mail or telephone address with its scheme, where it names a person: user part or direct number."""
-    end = _URL_END.search(text, scheme_stop)
-    stop = end.start() if end else len(text)
-    while stop > scheme_stop and text[stop - 1] in ".,;:!?)]":
+def url_run(text: str, at: int) -> tuple[int, int]:
+    """End of the run of address characters from ``at`` on, and the end without the punctuation behind it."""
+    found = _URL_END.search(text, at)
+    end = stop = found.start() if found else len(text)
+    while stop > at and text[stop - 1] in ".,;:!?)]":
         stop -= 1
-    body = text[scheme_stop:stop]
-    host = body.split("/", 1)[0]
-    if text[scheme_start:scheme_stop].endswith("//"):
+    return end, stop
+
+
+def parse_address(text: str, scheme_start: int, scheme_stop: int, stop: int) -> tuple[int, int] | None:
+    """A web, mail or telephone address up to ``stop``, where it names a person: user part or direct number.
+
+    Only the host is looked at, so a run of many schemes is read once.
+    """
+    if text[scheme_stop - 1] == "/":
+        slash = text.find("/", scheme_stop, stop)
+        host = text[scheme_stop : stop if slash < 0 else slash]
         return (scheme_start, stop) if "@" in host.strip("@") else None
-    return (scheme_start, stop) if body and (body[0] in _ALNUM or body[0] == "+") and len(body) >= 3 else None
+    return (scheme_start, stop) if stop - scheme_stop >= 3 and (text[scheme_stop] in _ALNUM or text[scheme_stop] == "+") else None
 
 
 class Finder:
@@ -185,7 +193,7 @@ class Finder:
 
     def spans(self, text: str) -> dict[str, list[tuple[int, int]]]:
         found: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
-        email_end = ip_end = card_end = account_end = address_end = 0
+        email_end = ip_end = card_end = account_end = address_end = run_end = run_stop = 0
         email, phone = found["email"], found["phone"]
         # Lower case of A-Z only, so that places stay the same.
         folded = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
@@ -207,9 +215,12 @@ class Finder:
                     phone.append(one)
             elif sign == "s":
                 start = last + 1 - size
-                if start >= address_end and (not start or text[start - 1] not in _ALNUM) and (one := parse_address(text, start, last + 1)):
-                    found["address"].append(one)
-                    address_end = one[1]
+                if start >= address_end and (not start or text[start - 1] not in _ALNUM):
+                    if last + 1 >= run_end:
+                        run_end, run_stop = url_run(text, last + 1)
+                    if one := parse_address(text, start, last + 1, max(run_stop, last + 1)):
+                        found["address"].append(one)
+                        address_end = one[1]
             else:
                 start = last + 1 - size
                 whole = (not start or text[start - 1] not in _ALNUM) and (last + 1 == len(text) or text[last + 1] not in _ALNUM)

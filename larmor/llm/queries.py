@@ -32,8 +32,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text")
     )
     logged = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    events = logged.withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))
-    return chat.digests(chat.render(chat.fold_events(events)))
+    return chat.digests(chat.render(chat.fold_events(chat.event_log(logged), message="message")))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

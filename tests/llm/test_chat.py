@@ -60,7 +60,25 @@ def test_round_trip_and_mask(spark):
     assert whole[2] == "<|im_start|>assistant\n<|im_end|>\n"
 
 
+def test_log_folds_to_its_messages(spark):
+    rows = [(1, 0, "user", "héllo"), (1, 1, "assistant", "ab"), (1, 1, "assistant", "ab"), (1, 1, "user", None), (1, 2, None, "x"), (1, 70, "assistant", ""), (1, 200, "user", "z"), (1, None, "assistant", "n"), (None, 3, "user", "q")]
+    log = chat.event_log(spark.createDataFrame(rows, MESSAGE).withColumn("seq", F.lit("clash")))
+    assert {r["kind"] for r in log.collect()} == {"message", "edit", "regenerate", "delta"}
+    got = sorted([tuple(r) for r in chat.fold_events(log, message="message").collect()], key=str)
+    assert got == sorted([(c, t, r, x or "") for c, t, r, x in rows], key=str)
+
+
+def test_query_keeps_rows_of_one_turn(spark, tmp_path):
+    from larmor.llm.queries import op4_chat
+
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (1, 1, "assistant", "c")]
+    spark.createDataFrame(rows, MESSAGE).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in op4_chat(spark, str(tmp_path)).collect()}
+    assert got[1]["n_turns"] == 4 and got[1]["loss_chars"] == 3 and got[-1]["n_turns"] == 2
+
+
 def test_empty(spark):
+    assert chat.fold_events(chat.event_log(spark.createDataFrame([], MESSAGE)), message="message").collect() == []
     none = spark.createDataFrame([], MESSAGE)
     assert chat.digests(chat.render(none)).collect() == []
     assert chat.fold_events(spark.createDataFrame([], EVENT)).collect() == []

@@ -70,3 +70,15 @@ def test_nulls_repeats_long_and_extra_columns(spark):
     got = pii.find(docs)
     assert sorted((r["doc_id"] is None, len(r["spans"])) for r in got.collect()) == [(False, 0), (False, 0), (False, 1), (False, 20000), (True, 1)]
     assert pii.find(docs.where(F.lit(False))).collect() == []
+
+
+def test_addresses_in_linear_time():
+    import time
+
+    from larmor.llm.pii import Finder
+
+    finder, began = Finder(), time.perf_counter()
+    for text in ("http://" * 150_000, "see http://" + "." * 1_000_000, "tel: " * 200_000, "mailto:)" * 130_000, "http://a@" * 120_000):
+        finder.spans(text)
+    assert time.perf_counter() - began < 30
+    assert finder.spans("x http://me@host.org/p, tel:+123. (mailto:a@b.cd) http://host/@ http://http://u@h!")["address"] == [(2, 22), (24, 32), (35, 48), (71, 81)]
