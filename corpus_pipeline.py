@@ -30,19 +30,31 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the smallest id; rows without an id stay."""
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi").select(docs.columns)
-    # Of rows that repeat a kept id and its text one stays.
-    kept = kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Of each component of linked fingerprints one row stays: that of the smallest id, rows without an id last.
+
+    Rows that share the id are told apart by their text's hash, and rows alike in both by all their columns, so
+    that exactly one row of a component is left whatever ids repeat or are null.
+    """
+    keyed = docs.withColumn("__row", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64("text").alias("t")))
+    numbered = keyed.withColumn("__fp", F.xxhash64("__row"))
+    # Each (id, text) is a document of the index under a number of its own.
+    groups = simhash.near_duplicates(numbered.select(F.col("__fp").alias("doc_id"), "text")).select("doc_id", "component_id").distinct()
+    groups = groups.join(numbered.select(F.col("__fp").alias("doc_id"), F.col("__row").alias("at")).distinct(), "doc_id")
+    best = groups.groupBy("component_id").agg(F.min(F.struct("at", "doc_id")).alias("best")).select(F.col("best.doc_id").alias("__fp"))
+    return numbered.join(best, "__fp", "left_semi").dropDuplicates(["__fp"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark passages do not cover by a twentieth of their words or more."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Documents that benchmark passages do not cover by a twentieth of their words or more.
+
+    A decision belongs to a row's id and text: rows without an id are judged like all others, and of rows that
+    repeat an id those with clean texts stay.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+    asked = keyed.select(F.col("__key").alias("doc_id"), "text")
+    found = decontaminate.contamination(asked, table(spark, sf_dir, "benchmark"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(bad, "__key", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
