@@ -9,9 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Half widths of the kernels.
-HALF_WIDTH = {"triangle": 1.0, "kaiser_bessel": 2.5, "sinc": 2.5, "polynomial": 2.0}
+HALF_WIDTH = {"triangle": 1.0, "kaiser_bessel": 2.5, "sinc": 2.5, "polynomial": 2.0, "polynomial_2": 2.0}
 #: Power series of the modified Bessel function I0, valid at every argument when long enough.
 _I0_TERMS = 30
+#: Coefficients of the polynomial kernels, from the constant up.
+POLYNOMIAL = (1.0, 0.04522831, -3.36020304, 1.12417012, 2.82448025, -1.63447764)
+POLYNOMIAL_2 = (1.0, 0.03056504, -3.01961845, 0.6679865, 2.77924058, -1.45923643)
 #: Points of a kernel table for each cell; values between are interpolated linearly.
 TABLE_POINTS = 600
 
@@ -44,9 +47,10 @@ def weight(distance: Column, kind: str = "triangle", half_width: float | None =
     x = F.abs(distance) / half
     if kind == "triangle":
         value = F.lit(1.0) - x
-    elif kind == "polynomial":
-        # A smooth degree-5 taper: 1 at the centre, 0 with zero slope at the rim.
-        value = F.lit(1.0) - x * x * x * (F.lit(10.0) - x * F.lit(15.0) + x * x * F.lit(6.0))
+    elif kind in ("polynomial", "polynomial_2"):
+        value = F.lit(0.0)
+        for c in reversed(POLYNOMIAL if kind == "polynomial" else POLYNOMIAL_2):
+            value = value * x + F.lit(c)
     elif kind == "kaiser_bessel":
         table = F.lit(kaiser_bessel_table(half, grid_factor))
         place = F.floor(F.least(F.abs(distance), F.lit(half)) * TABLE_POINTS).cast("int")

@@ -144,6 +144,25 @@ def low_rank_scale(x: np.ndarray, iteration: int, amplitude: float = 4.0, decay:
     return float(np.median(s) * (1 + amplitude * np.exp(-iteration / decay))) if len(s) else 0.0
 
 
+def block_scale(df: DataFrame, keys: list[str], column: str, columns: int, axes: dict[str, int], iteration: int, amplitude: float = 4.0, decay: float = 6.0, block: int = 4) -> float:
+    """``low_rank_scale`` of a long table: the leading singular value of every block, a group each, and their median."""
+    names = list(axes)
+    whole = F.lit(True)
+    for a, n in axes.items():
+        whole &= F.col(a) < n // block * block
+
+    def lead(table: pa.Table) -> pa.Table:
+        _, at = np.unique(np.stack([table.column(a).to_numpy() for a in names]), axis=1, return_inverse=True)
+        m = np.zeros((columns, at.max() + 1), complex)
+        m[table.column(column).to_numpy(), at] = table.column("re").to_numpy() + 1j * table.column("im").to_numpy()
+        return pa.table({"s": pa.array([float(np.linalg.svd(m, compute_uv=False)[0])])})
+
+    cells = [F.floor(F.col(a) / block).cast("int").alias(f"__b{a}") for a in names]
+    found = df.where(whole).select(*keys, column, *names, "re", "im", *cells).groupBy(*keys, *[f"__b{a}" for a in names]).applyInArrow(lead, "s double")
+    median = found.where("s > 0").agg(F.percentile("s", F.lit(0.5))).first()[0]
+    return float(median * (1 + amplitude * np.exp(-iteration / decay))) if median is not None else 0.0
+
+
 def low_rank_slabs(df: DataFrame, keys: list[str], column: str, columns: int, axes: dict[str, int], threshold: float, block: int = 4, rounds: int = 4, seed: int = 0) -> DataFrame:
     """One shifted round after another, each over blocks as groups: no task holds more than its blocks.
 
@@ -177,6 +196,28 @@ def low_rank_slabs(df: DataFrame, keys: list[str], column: str, columns: int, ax
     return df
 
 
+def combine_blocks(df: DataFrame, keys: list[str], column: str, columns: int, axes: dict[str, int], block: int = 4) -> DataFrame:
+    """``keys, axes, re, im``: the columns (coils) of every block projected on its leading right singular vector.
+
+    Each block is a group of its own; blocks at the far end of an axis are what is left of it.
+    """
+    names = list(axes)
+    schema = ", ".join(filter(None, [_fields(df, keys), *[f"`{a}` int" for a in names], "re double, im double"]))
+    df = df.select(*keys, F.col(column).cast("int").alias(column), *[F.col(a).cast("int").alias(a) for a in names], F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+
+    def project(table: pa.Table) -> pa.Table:
+        place = np.stack([table.column(a).to_numpy() for a in names])
+        voxel, at = np.unique(place, axis=1, return_inverse=True)
+        m = np.zeros((voxel.shape[1], columns), complex)
+        m[at, table.column(column).to_numpy()] = table.column("re").to_numpy() + 1j * table.column("im").to_numpy()
+        y = principal_channel(m)
+        out = {k: pa.array([table.column(k)[0].as_py()] * len(y), table.schema.field(k).type) for k in keys}
+        return pa.table(out | {a: pa.array(v.astype(np.int32)) for a, v in zip(names, voxel, strict=True)} | {"re": pa.array(y.real), "im": pa.array(y.imag)})
+
+    cells = [F.floor(F.col(a) / block).cast("int").alias(f"__b{a}") for a in names]
+    return df.select("*", *cells).groupBy(*keys, *[f"__b{a}" for a in names]).applyInArrow(project, schema)
+
+
 def phase_rotation(frames: np.ndarray, width: float = 0.25, slope: float = 0.05) -> np.ndarray:
     """Unit phase of the low-passed sum of the frames; multiply by its conjugate to remove it, by itself to restore it."""
     total = fft(frames.sum(0))
@@ -196,8 +237,10 @@ def temporal_basis(frames: np.ndarray, block: int = 8) -> np.ndarray:
 
 
 def principal_channel(x: np.ndarray) -> np.ndarray:
-    """Channels (rows: samples) combined by the leading right singular vector."""
-    return x @ np.linalg.svd(x, full_matrices=False)[2][0].conj()
+    """Channels (rows: samples) combined by the leading right singular vector, whose strongest channel has phase 0."""
+    v = np.linalg.svd(x, full_matrices=False)[2][0]
+    v = v * np.exp(-1j * np.angle(v[np.argmax(np.abs(v))]))
+    return x @ v.conj()
 
 
 def walsh_maps(images: np.ndarray, block: int = 8) -> np.ndarray:

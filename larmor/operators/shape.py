@@ -89,17 +89,47 @@ def coil_rejection(df: DataFrame, coil: str, inside: Column, value: Column, leas
     return per.select(coil, share.alias("fraction")).withColumn("keep", (F.col("fraction") >= least).cast("int"))
 
 
-def fov_box(df: DataFrame, axes: dict[str, int], value: Column, fraction: float) -> DataFrame:
-    """One row: for each axis the range of voxels above ``fraction`` of the maximum, symmetrised and rounded up to 16."""
+def rejection_shape(axes: dict[str, int], radius: float, height: float | None = None, through: str | None = None) -> Column:
+    """True inside a sphere of ``radius`` (shares of the axes' lengths); with ``height`` inside a cylinder along ``through``."""
+    at = {a: (F.col(a) - n // 2) / (2.0 * (n // 2)) for a, n in axes.items()}
+    across = [p for a, p in at.items() if height is None or a != through]
+    inside = sum((p * p for p in across[1:]), across[0] * across[0]) < radius * radius
+    return inside if height is None else inside & (F.abs(at[through]) < height)
+
+
+def reject_coils(images: DataFrame, judged: DataFrame, coil: str, parts: list[str]) -> DataFrame:
+    """Coils that ``coil_rejection`` does not keep become zero."""
+    keep = F.broadcast(judged.select(coil, "keep"))  # one row for each coil
+    return images.join(keep, coil).withColumns({p: F.when(F.col("keep") == 1, F.col(p)).otherwise(0.0) for p in parts}).drop("keep")
+
+
+def above_fraction(df: DataFrame, value: Column, fraction: float) -> DataFrame:
+    """Adds ``hit``: whether the value is above ``fraction`` of the largest."""
     top = df.agg(F.max(value).alias("__top"))
-    hits = df.crossJoin(F.broadcast(top)).where(value > F.col("__top") * F.lit(fraction))
+    return df.crossJoin(F.broadcast(top)).withColumn("hit", value > F.col("__top") * F.lit(fraction)).drop("__top")
+
+
+def fov_box(df: DataFrame, axes: dict[str, int], value: Column, fraction: float, within: str = "box", through: str | None = None) -> DataFrame:
+    """One row: for each axis the range of voxels above ``fraction`` of the maximum, symmetrised and rounded up to 16.
+
+    ``within`` takes the voxels of the whole ``box``, of the inscribed ``sphere``, or of the ``cylinder`` along ``through``.
+    """
+    hits = above_fraction(df, value, fraction).where("hit")
+    if within != "box":
+        at = [F.col(a) * 2.0 / n - 1.0 for a, n in axes.items() if within == "sphere" or a != through]
+        hits = hits.where(sum((p * p for p in at[1:]), at[0] * at[0]) <= 1.0)
     box = hits.agg(*[f(a).alias(f"{a}_{n}") for a in axes for n, f in (("min", F.min), ("max", F.max))])
     for a, size in axes.items():
-        reach = F.greatest(F.lit(size // 2) - F.col(f"{a}_min"), F.col(f"{a}_max") + 1 - F.lit(size // 2))
+        reach = F.greatest(F.lit(size // 2) - F.col(f"{a}_min"), F.col(f"{a}_max") - F.lit(size // 2))
         box = box.withColumn(f"{a}_size", F.least(F.ceil(reach * 2 / 16.0) * 16, F.lit(size)).cast("int"))
     return box
 
 
+def with_shot_signal(samples: DataFrame, signal: DataFrame, shot: list[str], names: list[str]) -> DataFrame:
+    """Every sample with the signal of its shot; samples of shots without one go."""
+    return samples.join(signal.select(*shot, *names), shot)
+
+
 def crop(df: DataFrame, limits: dict[str, tuple[int, int]]) -> DataFrame:
     """Half-open ranges on axes, renumbered from 0."""
     for a, (lo, hi) in limits.items():

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larmor.functions import kernels
+from larmor.functions import cplx, kernels
 
 
 @dataclass(frozen=True)
@@ -32,9 +32,10 @@ class Axis:
         return F.col(self.name).cast("double") * F.lit(self.factor) + F.lit(self.size // 2)
 
 
-def stencil(df: DataFrame, axes: list[Axis], kind: str = "triangle", half_width: float | None = None, grid_factor: float = 1.5) -> DataFrame:
+def stencil(df: DataFrame, axes: list[Axis], kind: str = "triangle", half_width: float | None = None, grid_factor: float = 1.5, widen: Column | None = None) -> DataFrame:
     """Every (sample, cell) in reach with ``weight``; samples outside the grid have no rows.
 
+    ``widen`` is a factor for each sample by which its kernel reaches farther.
     The sign of a transformed axis, ``2 * (cell mod 2) - 1``, is part of the weight.
     """
     half = kernels.HALF_WIDTH[kind] if half_width is None else half_width
@@ -44,9 +45,10 @@ def stencil(df: DataFrame, axes: list[Axis], kind: str = "triangle", half_width:
         if a.cartesian:
             df = df.withColumn(a.cell, F.floor(d).cast("int")).where((F.col(a.cell) >= 0) & (F.col(a.cell) < a.size))
         else:
-            lo, hi = F.greatest(F.ceil(d - half), F.lit(0)).cast("int"), F.least(F.floor(d + half), F.lit(a.size - 1)).cast("int")
+            reach = half if widen is None else widen * half
+            lo, hi = F.greatest(F.ceil(d - reach), F.lit(0)).cast("int"), F.least(F.floor(d + reach), F.lit(a.size - 1)).cast("int")
             df = df.where(lo <= hi).withColumn(a.cell, F.explode(F.sequence(lo, hi)))
-            df = df.withColumn(f"__{a.name}", F.col(a.cell) - d)
+            df = df.withColumn(f"__{a.name}", (F.col(a.cell) - d) / (F.lit(1.0) if widen is None else widen))
             weight = weight * kernels.weight(F.col(f"__{a.name}"), kind, half, grid_factor)
         if a.transformed:
             weight = weight * (F.lit(2.0) * F.pmod(F.col(a.cell), F.lit(2)) - 1.0)
@@ -84,9 +86,44 @@ def interpolated(samples: DataFrame, grid: DataFrame, axes: list[Axis], parts: l
     return met.groupBy(*sample_keys).agg(*[F.sum(F.col(p) * F.col("weight")).alias(p) for p in parts])
 
 
+def widened(axes: list[Axis], acceleration: float) -> Column:
+    """How much wider the kernel of a sample is: ``1 + kr / 128 * (acceleration - 1)``."""
+    r = F.sqrt(sum((F.col(a.name).cast("double") ** 2 for a in axes[1:]), F.col(axes[0].name).cast("double") ** 2))
+    return r / 128.0 * (acceleration - 1.0) + 1.0
+
+
+def density_weights(samples: DataFrame, axes: list[Axis], sample_keys: list[str], store, rounds: int = 20, kind: str = "polynomial", acceleration: float = 1.0, **more) -> DataFrame:
+    """Fixed point of ``density_step`` from 1, then its absolute value times the cube of the widening: ``samples, w``.
+
+    ``store`` writes a table and reads it back, so that the plan does not grow with the rounds.
+    """
+    w = samples.withColumn("w", F.lit(1.0))
+    for _ in range(rounds):
+        w = store(density_step(w, axes, sample_keys, kind=kind, widen=widened(axes, acceleration) if acceleration != 1 else None, **more))
+    return w.withColumn("w", F.abs("w") * F.pow(widened(axes, acceleration), F.lit(3.0)))
+
+
+def residual(samples: DataFrame, axes: list[Axis], parts: tuple[str, str], density: str, sample_keys: list[str], keys: list[str], kind: str = "triangle") -> DataFrame:
+    """``keys, residual``: gridded and interpolated back, scaled by ``D^H D / D^H R``, and compared with the data."""
+    grid = scatter(samples, axes, list(parts), density, keys, kind)
+    back = interpolated(samples, grid, axes, list(parts), [*keys, *sample_keys], keys, density, kind)
+    data = samples.select(*keys, *sample_keys, *[F.col(p).cast("double").alias(f"d{p}") for p in parts])
+    both = data.join(back, [*keys, *sample_keys], "left").fillna(0.0, list(parts))
+    d, r = cplx.pair(*(f"d{p}" for p in parts)), cplx.pair(*parts)
+    met = cplx.mul(cplx.conj(d), r)
+    # The sum over |d - s r|^2 with s = D^H D / D^H R, from four sums.
+    sums = both.groupBy(*keys).agg(F.sum(cplx.norm2(d)).alias("dd"), F.sum(met[0]).alias("pr"), F.sum(met[1]).alias("pi"), F.sum(cplx.norm2(r)).alias("rr"))
+    size = F.col("pr") * F.col("pr") + F.col("pi") * F.col("pi")
+    # Re(conj(D) s R) = D^H D, and |s|^2 = (D^H D)^2 / |D^H R|^2.
+    return sums.select(*keys, F.when(size > 0, F.col("dd") * F.col("dd") / size * F.col("rr") - F.col("dd")).otherwise(F.col("dd")).alias("residual"))
+
+
 def density_step(samples: DataFrame, axes: list[Axis], sample_keys: list[str], weight: str = "w", kind: str = "triangle", least: float = 1e-3, **more) -> DataFrame:
-    """One fixed-point step ``w <- w / (C C^T w)``; 0 where the denominator is smaller than ``least``."""
-    grid = scatter(samples, axes, [weight], kind=kind, **more)
+    """One fixed-point step ``w <- w / (C C^T w)``; 0 where the denominator is smaller than ``least``.
+
+    ``widen`` holds for the way back only.
+    """
+    grid = scatter(samples, axes, [weight], kind=kind, **{k: v for k, v in more.items() if k != "widen"})
     back = interpolated(samples, grid, axes, [weight], sample_keys, kind=kind, **more).withColumnRenamed(weight, "__d")
     step = F.when(F.coalesce(F.abs("__d"), F.lit(0.0)) < least, 0.0).otherwise(F.col(weight) / F.col("__d"))
     return samples.join(back, sample_keys, "left").withColumn(weight, step).drop("__d")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,14 +55,50 @@ def bayes(df: DataFrame, x: str, noise: float, by: list[str]) -> DataFrame:
 
 
 def sure(df: DataFrame, x: str, noise: float, by: list[str], candidates: int = 40) -> DataFrame:
-    """Per band the candidate ``j / candidates * visu`` of least SURE cost, the first of several.
+    """Per band the threshold of least SURE cost, searched upwards from 0 until the cost first stops falling.
+
+    Candidates are ``noise / 8 * sqrt(2 ln n) * j / (candidates - 1)`` with the band's number of coefficients ``n``;
+    the cost is ``n s^2 - 2 s^2 #(|x| < t) + sum min(|x|, t)^2``.  All costs come from one pass over the coefficients.
+    """
+    top = df.groupBy(*by).agg((F.lit(noise / 8.0) * F.sqrt(F.lit(2.0) * F.log(F.count(F.lit(1)).cast("double")))).alias("__top"))
+    a, t = F.abs(F.col(x)), [F.col("__top") * F.lit(float(j)) / F.lit(candidates - 1.0) for j in range(candidates)]
+    cost = lambda c: F.count(F.lit(1)) * F.lit(noise**2) - F.lit(2 * noise**2) * F.sum((a < c).cast("int")) + F.sum(F.pow(F.least(a, c), F.lit(2.0)))
+    # The table of bands has one row for each, and bands are few: levels times axes.
+    per = df.join(F.broadcast(top), by).groupBy(*by).agg(F.first("__top").alias("__top"), F.array(*[F.round(cost(c), 9) for c in t]).alias("__c"))
+    ends = F.filter(F.sequence(F.lit(1), F.lit(candidates - 1)), lambda j: F.get(F.col("__c"), j) >= F.get(F.col("__c"), j - 1))
+    best = F.coalesce(F.array_min(ends), F.lit(candidates)) - 1
+    return per.select(*by, (F.col("__top") * best / F.lit(candidates - 1.0)).alias("threshold"), F.get(F.col("__c"), best).alias("cost"))
+
+
+METHODS = ("none", "fixed", "fraction", "visu", "bayes", "sure")
+
+
+def by_method(df: DataFrame, x: str, by: list[str], method: str, value: float = 0.0, noise: float = 0.0, cycle_spins: int = 1) -> DataFrame:
+    """``by, threshold`` by the named method, divided among the cycle spins.
 
-    The cost ``n s^2 - 2 s^2 #(|x| <= t) + sum min(|x|, t)^2`` of all candidates comes from one pass.
+    ``fixed`` takes ``value``, ``fraction`` the magnitude below which that share of a band lies; ``visu`` takes the noise
+    from each band where none is given.
     """
-    top = noise * math.sqrt(2.0)
-    ts = [top * (j + 1) / candidates for j in range(candidates)]
-    a = F.abs(F.col(x))
-    costs = [(F.count(F.lit(1)) * F.lit(noise**2) - F.lit(2 * noise**2) * F.sum((a <= t).cast("int")) + F.sum(F.pow(F.least(a, F.lit(t)), F.lit(2.0)))).alias(f"__c{j}") for j, t in enumerate(ts)]
-    per = df.groupBy(*by).agg(*costs)
-    best = F.array_min(F.array(*[F.struct(F.round(F.col(f"__c{j}"), 9).alias("cost"), F.lit(t).alias("t")) for j, t in enumerate(ts)]))
-    return per.select(*by, best["t"].alias("threshold"), best["cost"].alias("cost"))
+    bands = df.groupBy(*by)
+    if method == "none":
+        found = bands.agg(F.lit(0.0).alias("threshold"))
+    elif method == "fixed":
+        found = bands.agg(F.lit(float(value)).alias("threshold"))
+    elif method == "fraction":
+        found = fraction(df, F.abs(F.col(x)), value, by)
+    elif method == "visu":
+        own = F.lit(float(noise)) if noise else F.percentile(F.abs(F.col(x)), F.lit(0.5)) / 0.6745
+        found = bands.agg(own.alias("n"), F.count(F.lit(1)).alias("k")).select(*by, visu(F.col("n"), F.col("k")).alias("threshold"))
+    elif method == "bayes":
+        found = bayes(df, x, noise, by)
+    elif method == "sure":
+        found = sure(df, x, noise, by).select(*by, "threshold")
+    else:
+        raise ValueError(f"unknown method {method!r}; one of {METHODS}")
+    return found.withColumn("threshold", F.col("threshold") / F.lit(float(cycle_spins)))
+
+
+def multiband(df: DataFrame, x: str, by: list[str], method: str, hard_cut: bool = False, **more) -> DataFrame:
+    """Every band cut by its own threshold; thresholds are one row for each band and travel to the rows."""
+    found = df.join(F.broadcast(by_method(df, x, by, method, **more)), by)
+    return found.withColumn(x, (hard if hard_cut else soft)(F.col(x), F.col("threshold"))).drop("threshold")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from larmor.functions import cplx, kernels
 from larmor.functions.cplx import settled
-from larmor.operators import blocks, coils, fitting, gating, lines, shape, stencil, thresholds
+from larmor.operators import blocks, coils, fitting, gating, lines, regularise, shape, stencil, thresholds
 from larmor.plans import recon
 from larmor.sources import standins as src
 
@@ -244,6 +244,25 @@ def fov_box(spark, sf):
     return shape.fov_box(l, {"n": 64, "y": 64}, F.abs("x"), 0.9)
 
 
+@query
+def fov_sphere(spark, sf):
+    l = src.lines(spark, sf).withColumn("y", (F.col("vec_id") % 64).cast("int"))  # noqa: E741
+    return shape.fov_box(l, {"n": 64, "y": 64}, F.abs("x"), 0.5, within="sphere")
+
+
+@query
+def coil_rejection_disc(spark, sf):
+    l = src.lines(spark, sf).withColumns({"y": F.floor(F.col("n") / 8).cast("int"), "z": (F.col("n") % 8).cast("int")})  # noqa: E741
+    inside = shape.rejection_shape({"y": 8, "z": 8}, 0.3)
+    return shape.coil_rejection(l, "label", inside, F.col("x"), 0.3).select("label", _r("fraction", 6), "keep")
+
+
+@query
+def shot_signal(spark, sf):
+    orders = src.load(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice", "o_orderpriority")
+    met = shape.with_shot_signal(src.samples(spark, sf), orders, ["l_orderkey"], ["o_totalprice", "o_orderpriority"])
+    return met.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), settled(F.sum(F.col("kw") * F.col("o_totalprice")), 0).alias("signal"))
+
 @query
 def crop_pad(spark, sf):
     cut = shape.crop(src.lines(spark, sf), {"n": (16, 48)})
@@ -298,7 +317,7 @@ def _scatter(kind):
     return run
 
 
-_Q |= {"grid_scatter_tri": _scatter("triangle"), "grid_scatter_poly": _scatter("polynomial"), "grid_scatter_kb": _scatter("kaiser_bessel")}
+_Q |= {"grid_scatter_tri": _scatter("triangle"), "grid_scatter_poly": _scatter("polynomial"), "grid_scatter_poly_2": _scatter("polynomial_2"), "grid_scatter_kb": _scatter("kaiser_bessel")}
 KEYS = ["l_orderkey", "l_linenumber"]
 
 
@@ -315,6 +334,20 @@ def dcf_step(spark, sf):
     return stencil.density_step(s.select(*KEYS, "kx", "ky", "w"), AXES, KEYS).select(*KEYS, settled(F.col("w"), 8).alias("w"))
 
 
+@query
+def dcf_loop(spark, sf):
+    s = src.samples(spark, sf).select(*KEYS, (F.col("kx") + 0.25).alias("kx"), "ky")
+    store = lambda df: recon.stored(df, "density")
+    return stencil.density_weights(s, AXES, KEYS, store, 2, acceleration=3.0).select(*KEYS, settled(F.col("w") * 1e6, 3).alias("w"))
+
+
+@query
+def kspace_residual(spark, sf):
+    s = src.samples(spark, sf).withColumns({"kx": F.col("kx") + 0.25, "im": F.col("re") * 0.5})
+    found = stencil.residual(s, AXES, ("re", "im"), "kw", KEYS, ["l_returnflag"])
+    return found.select("l_returnflag", settled(F.col("residual") / 1e9, 2).alias("residual"))
+
+
 @query
 def low_pass_grid(spark, sf):
     axes = [stencil.Axis("kx", 64, transformed=True), stencil.Axis("ky", 16, cartesian=True, transformed=True)]
@@ -428,13 +461,14 @@ def diff_transform(spark, sf):
 
 def _frames_matrix(matrix):
     def run(spark, sf):
-        l = src.lines(spark, sf).where("n < 8").select("vec_id", F.col("n").alias("frame"), F.col("x").alias("re"), F.lit(0.0).alias("im"))  # noqa: E741
+        l = src.lines(spark, sf).select("vec_id", F.col("n").alias("frame"), F.col("x").alias("re"), F.lit(0.0).alias("im"))  # noqa: E741
         return coils.apply_matrix(l, coils.matrix_table(spark, matrix), ["vec_id"], "frame").select("vec_id", "frame", _r("re", 6))
 
     return run
 
 
-_Q |= {"time_difference_matrix": _frames_matrix(lines.difference_matrix(8)), "time_wavelet_matrix": _frames_matrix(lines.haar_matrix(8))}
+_Q |= {"time_difference_matrix": _frames_matrix(lines.difference_matrix(64)), "time_wavelet_matrix": _frames_matrix(lines.haar_matrix(64))}
+_Q |= {"inverse_time_difference": _frames_matrix(np.linalg.inv(lines.difference_matrix(64))), "inverse_time_wavelet": _frames_matrix(lines.haar_matrix(64).T)}
 
 
 @query
@@ -513,6 +547,43 @@ def sure_threshold(spark, sf):
     return thresholds.sure(_banded(spark, sf), "x", 0.08, ["band"]).select("band", _r("threshold", 6))
 
 
+def _multiband(method, **more):
+    return lambda spark, sf: thresholds.multiband(_banded(spark, sf), "x", ["band"], method, **more).select("vec_id", "n", _r("x", 6))
+
+
+_Q |= {"multiband_bayes": _multiband("bayes", noise=0.02), "multiband_fraction": _multiband("fraction", value=0.3, cycle_spins=2), "multiband_sure": _multiband("sure", noise=0.08)}
+
+
+# Regularisation ----------------------------------------------------------------------------------
+
+VOLUME = {"z": 8, "y": 8, "x": 8}
+
+
+def _volumes(spark, sf):
+    """Embeddings as volumes of eight lines folded in eight rows."""
+    n = F.col("n")
+    return src.lines(spark, sf).select(F.floor(F.col("vec_id") / 8).cast("long").alias("volume"), (F.col("vec_id") % 8).cast("int").alias("z"), F.floor(n / 8).cast("int").alias("y"), (n % 8).cast("int").alias("x"), F.col("x").alias("re"), (F.col("x") * n / 64.0).alias("im"))
+
+
+def _gradient(kind):
+    return lambda spark, sf: regularise.gradient(_volumes(spark, sf), ["volume"], VOLUME, kind).select("volume", *VOLUME, _r("re", 6), _r("im", 6))
+
+
+_Q |= {"l2_gradient_tv": _gradient("tv"), "l2_gradient_phase": _gradient("phase")}
+
+
+@query
+def l2_scale(spark, sf):
+    v = _volumes(spark, sf)
+    rows = [(kind, per, regularise.scale(v, ["volume"], VOLUME, kind, 0.1, 2.0, per)) for kind in ("none", "tv", "phase") for per in (False, True)]
+    return spark.createDataFrame(rows, "kind string, per_volume boolean, scale double").select("kind", "per_volume", settled(F.col("scale") * 1e6, 4).alias("scale"))
+
+
+@query
+def normalised_blur(spark, sf):
+    return regularise.normalised_blur(_real_lines(spark, sf), ["vec_id"], {"n": 64}, {"n": 2.0}).select("vec_id", "n", _r("x", 5))
+
+
 # Fitting, iterations, simulation -----------------------------------------------------------------
 
 

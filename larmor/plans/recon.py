@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larmor.functions import cplx, kernels
-from larmor.operators import blocks, coils, stencil
+from larmor.operators import blocks, coils, regularise, stencil
 
 KEY = ["frame", "coil"]
 
@@ -53,6 +53,8 @@ class Options:
     kernel: str = "kaiser_bessel"
     l2: float = 0.0
     threshold: float = 0.0  # share of the largest coefficient
+    time_transform: str = "none"  # none, dft, diff, wavelet, pca or composite, around the threshold
+    phase: bool = False  # remove the smooth phase of the sum of frames around the threshold
     levels: int = 2
     wavelet: str = "db4"
     low_rank: float = 0.0
@@ -209,16 +211,24 @@ def power_step(e: Encoding, like: DataFrame) -> float:
 
 
 def denoise(e: Encoding, x: DataFrame, iteration: int) -> DataFrame:
-    """Low-rank step over frames, then wavelet threshold of each frame."""
+    """Low-rank step over frames; then, inside a phase correction and a transform over frames, wavelet threshold of each."""
     o, frames = e.options, None
     if o.low_rank:
         frames = x.agg(F.max("frame")).first()[0] + 1
-        sizes = {"frame": frames, **e.sizes}
-
-        def shrink(a: np.ndarray) -> np.ndarray:
-            return blocks.low_rank(a, o.low_rank * blocks.low_rank_scale(a, iteration, block=o.block), o.block, seed=o.seed + iteration)
-
-        x = blocks.on_blocks(x, [], sizes, shrink)
+        cut = o.low_rank * blocks.block_scale(x, [], "frame", frames, e.sizes, iteration, block=o.block)
+        x = stored(blocks.low_rank_slabs(x, [], "frame", frames, e.sizes, cut, o.block, seed=o.seed + iteration), "low-rank")
+    basis = phase = None
+    if o.phase:
+        sizes, total = e.sizes, x.groupBy(*e.names).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+        turned = blocks.on_blocks(total, [], sizes, lambda a: blocks.phase_rotation(a[None]))
+        phase = stored(turned.select(*e.names, F.atan2("im", "re").alias("angle")), "phase")
+        x = regularise.correct_phase(x, e.names, phase)
+    if o.time_transform != "none":
+        frames = frames or x.agg(F.max("frame")).first()[0] + 1
+        x = stored(x, "untransformed")
+        mean = stored(x.groupBy(*e.names).agg(F.avg("re").alias("re"), F.avg("im").alias("im")), "composite") if o.time_transform == "composite" else None
+        basis = regularise.principal_frames(x, e.sizes, "frame", frames) if o.time_transform == "pca" else None
+        x = regularise.along(x, e.names, "frame", frames, o.time_transform, composite=mean, basis=basis)
     if o.threshold:
 
         def cut(a: np.ndarray) -> np.ndarray:
@@ -227,7 +237,11 @@ def denoise(e: Encoding, x: DataFrame, iteration: int) -> DataFrame:
             return blocks.wavelet3d(blocks.soft(w, o.threshold * np.abs(w).max()), o.levels, o.wavelet, inverse=True, shift=tuple(spin))
 
         x = blocks.on_blocks(x, ["frame"], e.sizes, cut)
-    return x
+    if o.time_transform != "none":
+        x = regularise.along(x, e.names, "frame", frames, o.time_transform, True, mean, basis)
+    if phase is not None:
+        x = regularise.correct_phase(x, e.names, phase, restore=True)
+    return x.select("frame", *e.names, "re", "im")
 
 
 def iterative_threshold(e: Encoding) -> tuple[DataFrame, list[float]]:
@@ -254,7 +268,7 @@ def iterative_threshold(e: Encoding) -> tuple[DataFrame, list[float]]:
 
 
 def calibrationless(e: Encoding) -> tuple[DataFrame, list[float]]:
-    """Coil images kept apart, made alike by low-rank blocks over coils, then combined as a root sum of squares, without phase."""
+    """Coil images kept apart, made alike by low-rank blocks over coils, then combined by block."""
     o = e.options
     voxel = [*KEY, *e.names]
     coils_n = e.samples.agg(F.max("coil")).first()[0] + 1
@@ -268,11 +282,12 @@ def calibrationless(e: Encoding) -> tuple[DataFrame, list[float]]:
             step = energies[0] / max(_dot(e.images(e.weighted(e.sample_images(r))), r, voxel).real, 1e-300)
         y = _add(x, r, voxel, complex(step))
 
-        def shrink(a: np.ndarray, n: int = n) -> np.ndarray:
-            return blocks.low_rank(a, o.low_rank * blocks.low_rank_scale(a, n, block=o.block), o.block, seed=o.seed + n)
-
-        x = stored(blocks.on_blocks(y, ["frame"], {"coil": coils_n, **e.sizes}, shrink) if o.low_rank else y, "clear-x")
-    return coils.root_sum_squares(x, ["frame", *e.names]).select("frame", *e.names, F.col("sos").alias("re"), F.lit(0.0).alias("im")), energies
+        if o.low_rank:
+            y = stored(y, "clear-y")
+            cut = o.low_rank * blocks.block_scale(y, ["frame"], "coil", coils_n, e.sizes, n, block=o.block)
+            y = blocks.low_rank_slabs(y, ["frame"], "coil", coils_n, e.sizes, cut, o.block, seed=o.seed + n)
+        x = stored(y, "clear-x")
+    return blocks.combine_blocks(x, ["frame"], "coil", coils_n, e.sizes, o.block), energies
 
 
 def splitting(e: Encoding, penalty: float = 1.0) -> tuple[DataFrame, list[float]]:

@@ -51,8 +51,10 @@ def kernel(d: str, kind: str) -> str:
     x = f"(abs({d}) / {half!r})"
     if kind == "triangle":
         value = f"1.0 - {x}"
-    elif kind == "polynomial":
-        value = f"1.0 - {x} * {x} * {x} * (10.0 - {x} * 15.0 + {x} * {x} * 6.0)"
+    elif kind in ("polynomial", "polynomial_2"):
+        # Fixed values, from the constant up.
+        c = (1.0, 0.04522831, -3.36020304, 1.12417012, 2.82448025, -1.63447764) if kind == "polynomial" else (1.0, 0.03056504, -3.01961845, 0.6679865, 2.77924058, -1.45923643)
+        value = " + ".join(f"{v!r} * pow({x}, {i})" for i, v in enumerate(c))
     else:
         place = f"CAST(floor(least(abs({d}), {half!r}) * 600) AS BIGINT)"
         value = f"ktab[{place} + 1] + (abs({d}) * 600 - {place}) * (ktab[{place} + 2] - ktab[{place} + 1])"
@@ -95,7 +97,7 @@ def matrix(values: np.ndarray) -> str:
 
 
 def frames_matrix(values: np.ndarray) -> str:
-    return f"WITH {BASE}, {matrix(values)} SELECT vec_id, CAST(r AS INTEGER) AS frame, {r('sum(mre * x)', 6)} AS re FROM (SELECT * FROM line WHERE n < 8) JOIN mat ON c = n GROUP BY vec_id, r"
+    return f"WITH {BASE}, {matrix(values)} SELECT vec_id, CAST(r AS INTEGER) AS frame, {r('sum(mre * x)', 6)} AS re FROM line JOIN mat ON c = n WHERE mre <> 0 GROUP BY vec_id, r"
 
 
 def dft(sign: str) -> str:
@@ -135,11 +137,50 @@ def soft(x: str, t: str) -> str:
     return f"(CASE WHEN abs({x}) <= {t} THEN 0.0 ELSE {x} * (1.0 - {t} / abs({x})) END)"
 
 
-def sure() -> str:
-    ts = ", ".join(repr(0.08 * math.sqrt(2.0) * (j + 1) / 40) for j in range(40))
-    return f"""WITH {BASE}, {BAND}, cost AS (SELECT band, t, round(count(*) * {0.08**2!r} - {2 * 0.08**2!r} * sum(CAST(abs(x) <= t AS INTEGER)) + sum(least(abs(x), t) * least(abs(x), t)), 9) AS c
-        FROM banded, (SELECT unnest([{ts}]) AS t) GROUP BY band, t)
-    SELECT band, {r('arg_min(t, (c, t))', 6)} AS threshold FROM cost GROUP BY band"""
+SURE = f"""{BAND}, tops AS (SELECT band, 0.08 / 8 * sqrt(2 * ln(count(*))) AS top FROM banded GROUP BY band),
+    tried AS (SELECT band, j, top * j / 39.0 AS t FROM tops, range(0, 40) g(j)),
+    cost AS (SELECT band, j, t, round(count(*) * {0.08**2!r} - {2 * 0.08**2!r} * sum(CAST(abs(x) < t AS INTEGER)) + sum(least(abs(x), t) * least(abs(x), t)), 9) AS c FROM banded JOIN tried USING (band) GROUP BY band, j, t),
+    steps AS (SELECT *, lag(c) OVER (PARTITION BY band ORDER BY j) AS before FROM cost),
+    chosen AS (SELECT band, coalesce(min(j) FILTER (WHERE c >= before), 40) - 1 AS j FROM steps GROUP BY band), best AS (SELECT band, t AS threshold FROM chosen JOIN tried USING (band, j))"""
+VOLUME = "vol AS (SELECT CAST(vec_id // 8 AS BIGINT) AS volume, vec_id % 8 AS z, n // 8 AS y, n % 8 AS xx, x AS re, x * n / 64.0 AS im FROM line)"
+TV = f"""{VOLUME}, moved AS (SELECT volume, z, y, xx, re, im FROM vol
+    UNION ALL SELECT volume, (z + d) % 8, y, xx, -re / 6, -im / 6 FROM vol, (VALUES (1), (7)) m(d)
+    UNION ALL SELECT volume, z, (y + d) % 8, xx, -re / 6, -im / 6 FROM vol, (VALUES (1), (7)) m(d)
+    UNION ALL SELECT volume, z, y, (xx + d) % 8, -re / 6, -im / 6 FROM vol, (VALUES (1), (7)) m(d)),
+    tv AS (SELECT volume, z, y, xx, sum(re) AS re, sum(im) AS im FROM moved GROUP BY volume, z, y, xx)"""
+
+
+def voxels(source: str, re: str = "re") -> str:
+    return f"SELECT volume, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(xx AS INTEGER) AS x, {r(re, 6)} AS re, {r('im', 6)} AS im FROM {source}"
+
+
+def cut_bands(table: str, share: str = "1.0") -> str:
+    t = f"(threshold * {share})"
+    return f"WITH {BASE}, {table} SELECT vec_id, n, {r(soft('x', t), 6)} AS x FROM banded JOIN best USING (band)"
+
+
+def density_loop(rounds: int, acceleration: float) -> str:
+    """Fixed point with kernels widened on the way back."""
+    half, wide = 2.0, f"(sqrt(kx * kx + ky * ky) / 128.0 * {acceleration - 1.0!r} + 1.0)"
+
+    def reach(source: str, factor: str) -> str:
+        inner = f"(SELECT *, unnest(range(CAST(greatest(ceil(ky + 8 - {half} * {factor}), 0) AS BIGINT), CAST(least(floor(ky + 8 + {half} * {factor}), 15) AS BIGINT) + 1)) AS cy FROM (SELECT *, unnest(range(CAST(greatest(ceil(kx + 32 - {half} * {factor}), 0) AS BIGINT), CAST(least(floor(kx + 32 + {half} * {factor}), 63) AS BIGINT) + 1)) AS cx FROM {source}))"
+        return f"SELECT l_orderkey, l_linenumber, w, cx, cy, {kernel(f'((cx - (kx + 32)) / {factor})', 'polynomial')} * {kernel(f'((cy - (ky + 8)) / {factor})', 'polynomial')} AS weight FROM {inner}"
+
+    steps, last = [f"w0 AS (SELECT l_orderkey, l_linenumber, kx, ky, 1.0::DOUBLE AS w FROM moved)"], "w0"
+    for i in range(1, rounds + 1):
+        steps.append(f"g{i} AS (SELECT cx, cy, sum(w * weight) AS g FROM ({reach(last, '1.0')}) GROUP BY cx, cy), d{i} AS (SELECT l_orderkey, l_linenumber, sum(g * weight) AS d FROM ({reach(last, wide)}) JOIN g{i} USING (cx, cy) GROUP BY l_orderkey, l_linenumber), w{i} AS (SELECT l_orderkey, l_linenumber, kx, ky, CASE WHEN abs(coalesce(d, 0.0)) < 1e-3 THEN 0.0 ELSE w / d END AS w FROM {last} LEFT JOIN d{i} USING (l_orderkey, l_linenumber))")
+        last = f"w{i}"
+    return f"WITH {BASE}, {MOVED}, {', '.join(steps)} SELECT l_orderkey, l_linenumber, {r(f'abs(w) * pow({wide}, 3) * 1e6', 3)} AS w FROM {last}"
+
+
+def residual() -> str:
+    near = stencil("(SELECT * FROM moved WHERE kw <> 0)", "triangle", "l_orderkey, l_linenumber, l_returnflag, re * kw AS val")
+    return f"""WITH {BASE}, {MOVED}, st AS MATERIALIZED ({near}), grid AS (SELECT l_returnflag, ckx, cky, sum(val * weight) AS g FROM st GROUP BY l_returnflag, ckx, cky),
+    got AS (SELECT l_returnflag, l_orderkey, l_linenumber, sum(g * weight) AS b FROM st JOIN grid USING (l_returnflag, ckx, cky) GROUP BY l_returnflag, l_orderkey, l_linenumber),
+    both_ AS (SELECT l_returnflag, re AS d, coalesce(b, 0.0) AS b FROM moved LEFT JOIN got USING (l_returnflag, l_orderkey, l_linenumber)),
+    fit AS (SELECT l_returnflag, sum(d * d) / sum(d * b) AS s FROM both_ GROUP BY l_returnflag)
+    SELECT l_returnflag, {r('1.25 * sum((d - s * b) * (d - s * b)) / 1e9', 2)} AS residual FROM both_ JOIN fit USING (l_returnflag) GROUP BY l_returnflag"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -155,10 +196,11 @@ def oracle_sql() -> dict[str, str]:
     unit = "unit AS (SELECT vec_id, coil, CASE WHEN s > 0 THEN re / s ELSE 0.0 END AS ur, CASE WHEN s > 0 THEN im / s ELSE 0.0 END AS ui FROM norm)"
     moments = ["1.0", "kz", "ky", "kx"]
     cells = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {r(f'sum({a} * {b})', 0)} AS value FROM p" for i, a in enumerate(moments) for j, b in [*enumerate(moments), (-1, "re")])
-    since = "(frame * (1.0 / 6) * 2.0 - arrival)"
-    bolus = f"density * ((CASE WHEN {since} <= 0 THEN 0.0 ELSE pow({since}, 2.0) * exp(-{since} / 0.25) / {math.gamma(3.0) * 0.25**3!r} END) + (CASE WHEN {since} > 0 THEN 0.25 ELSE 0.0 END))"
+    since, beta = "(frame * 3.0 / 6 - arrival)", "(0.25 * (1 + 2 * arrival))"
+    gamma = lambda b: f"pow({since}, 2) * exp(-{since} / {b}) / (2 * {b} * {b})"
+    bolus = f"CASE WHEN {since} > 0 THEN density * ({gamma(beta)} + 0.25 * {gamma(f'(4 * {beta})')}) ELSE 0.0 END"
     width = "(0.5 * (3.0 * pow(abs(kr) / kmax, 2.0) + 1.0))"
-    ell = lambda c, a: f"((2.0 * {c} - 31) / {2.0 * 32 * a!r})"
+    ell = lambda c, a: f"(({c} - 16.0) / 32.0 / {a!r})"
     e2 = " + ".join(f"{ell(c, a)} * {ell(c, a)}" for c, a in (("x", 0.5), ("y", 0.35), ("z", 0.25)))
     return {
         "gate_time_frames": f"WITH {FRAMED} SELECT frame, count(*) AS n, {r('sum(v * v)', 4)} AS energy FROM fr GROUP BY frame",
@@ -195,7 +237,7 @@ def oracle_sql() -> dict[str, str]:
         "circle_mask": w + "SELECT vec_id, CAST(count(*) FILTER (WHERE pow((n % 8 - 3.5) / 4.0, 2) + pow((n // 8 - 3.5) / 4.0, 2) <= 1) AS BIGINT) AS inside FROM line GROUP BY vec_id",
         "hole_fill_mask": w + "SELECT vec_id, CAST(coalesce(max(n) FILTER (WHERE x > 0.15) - min(n) FILTER (WHERE x > 0.15) + 1, 0) AS BIGINT) AS filled FROM line GROUP BY vec_id",
         "coil_rejection": w + f", p AS (SELECT label, sum(CASE WHEN n >= 16 AND n < 48 THEN abs(x) ELSE 0.0 END) / sum(abs(x)) AS f FROM line GROUP BY label) SELECT label, {r('f', 6)} AS fraction, CAST(f >= 0.5 AS INTEGER) AS keep FROM p",
-        "fov_box": w + ", h AS (SELECT n, CAST(vec_id % 64 AS INTEGER) AS y FROM line WHERE abs(x) > (SELECT max(abs(x)) FROM line) * 0.9), b AS (SELECT min(n) AS n_min, max(n) AS n_max, min(y) AS y_min, max(y) AS y_max FROM h) SELECT *, CAST(least(ceil(greatest(32 - n_min, n_max + 1 - 32) * 2 / 16.0) * 16, 64) AS INTEGER) AS n_size, CAST(least(ceil(greatest(32 - y_min, y_max + 1 - 32) * 2 / 16.0) * 16, 64) AS INTEGER) AS y_size FROM b",
+        "fov_box": w + ", h AS (SELECT n, CAST(vec_id % 64 AS INTEGER) AS y FROM line WHERE abs(x) > (SELECT max(abs(x)) FROM line) * 0.9), b AS (SELECT min(n) AS n_min, max(n) AS n_max, min(y) AS y_min, max(y) AS y_max FROM h) SELECT *, CAST(least(ceil(greatest(32 - n_min, n_max - 32) * 2 / 16.0) * 16, 64) AS INTEGER) AS n_size, CAST(least(ceil(greatest(32 - y_min, y_max - 32) * 2 / 16.0) * 16, 64) AS INTEGER) AS y_size FROM b",
         "crop_pad": w + f"SELECT vec_id, CAST(k AS INTEGER) AS n, {r('coalesce(x, 0.0)', 6)} AS x FROM (SELECT DISTINCT vec_id FROM line) CROSS JOIN range(0, 48) g(k) LEFT JOIN (SELECT vec_id, n - 8 AS k, x FROM line WHERE n >= 16 AND n < 48) USING (vec_id, k)",
         "k_radius": w + f"SELECT l_returnflag, count(*) AS n, {r('sum(re)', 1)} AS re FROM pt WHERE kx * kx + ky * ky < 144 GROUP BY l_returnflag",
         "zero_weight_skip": w + f"SELECT l_linestatus, count(*) AS n, {r('sum(re * kw)', 1)} AS weighted FROM pt WHERE kw <> 0 GROUP BY l_linestatus",
@@ -203,7 +245,7 @@ def oracle_sql() -> dict[str, str]:
         "composite_difference": w + f", m AS (SELECT n, avg(x) AS m FROM line GROUP BY n) SELECT vec_id, n, {r('x - m', 6)} AS x FROM line JOIN m USING (n)",
         "normalise_to_max": w + f", top AS (SELECT max(sqrt(re * re + im * im)) AS top FROM cx) SELECT vec_id, coil, {r('re / top', 6)} AS re, {r('im / top', 6)} AS im FROM cx, top",
         "reset_density": w + f"SELECT l_returnflag, {r('sum(least(kw * 3, 0.1))', 3)} AS kw FROM pt GROUP BY l_returnflag",
-        "grid_scatter_tri": scatter("triangle"), "grid_scatter_poly": scatter("polynomial"), "grid_scatter_kb": scatter("kaiser_bessel"),
+        "grid_scatter_tri": scatter("triangle"), "grid_scatter_poly": scatter("polynomial"), "grid_scatter_poly_2": scatter("polynomial_2"), "grid_scatter_kb": scatter("kaiser_bessel"),
         "degrid_gather": gather, "dcf_step": dcf,
         "low_pass_grid": w + f", st AS (SELECT re * kw * exp(-(kx * kx + ky * ky) / 200.0) AS val, kx, unnest(range(CAST(greatest(ceil(kx + 32 - 1.0), 0) AS BIGINT), CAST(least(floor(kx + 32 + 1.0), 63) AS BIGINT) + 1)) AS cx, CAST(floor(ky + 8) AS BIGINT) AS cy FROM pt WHERE kw <> 0) SELECT CAST(cx AS INTEGER) AS ckx, CAST(cy AS INTEGER) AS cky, {r('sum(val * ' + kernel('(cx - (kx + 32))', 'triangle') + ' * (2.0 * (cx % 2) - 1) * (2.0 * (cy % 2) - 1))', 1)} AS re FROM st WHERE cy >= 0 AND cy < 16 GROUP BY cx, cy",
         "bessel_i0": w + f"SELECT event_id, {r(i0('(v / 100.0)'), 6)} AS i0 FROM sig",
@@ -220,7 +262,8 @@ def oracle_sql() -> dict[str, str]:
         "haar_forward": wave("db2"), "haar_inverse": unwave("db2"), "db4_forward": wave("db4"), "db4_inverse": unwave("db4"),
         "subband_energy": w + f", {BAND} SELECT band, {r('sum(x * x)', 4)} AS energy, count(*) AS n FROM banded GROUP BY band",
         "diff_transform": w + f"SELECT vec_id, n, {r('CASE WHEN n = 0 THEN sum(x) OVER (PARTITION BY vec_id) ELSE lag(x) OVER (PARTITION BY vec_id ORDER BY n) - x END', 6)} AS x FROM line",
-        "time_difference_matrix": frames_matrix(lines.difference_matrix(8)), "time_wavelet_matrix": frames_matrix(lines.haar_matrix(8)),
+        "time_difference_matrix": frames_matrix(lines.difference_matrix(64)), "time_wavelet_matrix": frames_matrix(lines.haar_matrix(64)),
+        "inverse_time_difference": frames_matrix(np.linalg.inv(lines.difference_matrix(64))), "inverse_time_wavelet": frames_matrix(lines.haar_matrix(64).T),
         "gaussian_line": convolve(gauss(1.0, 5, True), False), "gaussian_unnorm": convolve(gauss(2.0, 6, False), False),
         "laplacian_periodic": convolve({-1: -0.5, 0: 1.0, 1: -0.5}, True),
         "block_sums": w + f"SELECT label, CAST(n // 8 AS INTEGER) AS block, {r('sum(x)', 4)} AS x FROM line GROUP BY label, n // 8",
@@ -232,9 +275,18 @@ def oracle_sql() -> dict[str, str]:
         "noise_mad": w + f", {BAND} SELECT band, {r('quantile_cont(abs(x), 0.5) / 0.6745', 6)} AS noise FROM banded GROUP BY band",
         "visu_threshold": w + f", {BAND} SELECT band, {r('quantile_cont(abs(x), 0.5) / 0.6745 / 8.0 * sqrt(2.0 * ln(count(*) / 8.0))', 6)} AS threshold FROM banded GROUP BY band",
         "bayes_threshold": w + f", {BAND}, v AS (SELECT band, var_pop(x) / 2.0 - {0.02**2!r} AS l, max(abs(x)) AS m FROM banded GROUP BY band) SELECT band, {r(f'CASE WHEN l > 0 THEN {0.02**2!r} / sqrt(l) ELSE m END', 6)} AS threshold FROM v",
-        "sure_threshold": sure(),
+        "sure_threshold": f"WITH {BASE}, {SURE} SELECT band, {r('threshold', 6)} AS threshold FROM best",
+        "multiband_sure": cut_bands(SURE), "multiband_fraction": cut_bands(f"{BAND}, best AS (SELECT band, quantile_cont(abs(x), 0.3) AS threshold FROM banded GROUP BY band)", "0.5"),
+        "multiband_bayes": cut_bands(f"{BAND}, v AS (SELECT band, var_pop(x) / 2.0 - {0.02**2!r} AS l, max(abs(x)) AS m FROM banded GROUP BY band), best AS (SELECT band, CASE WHEN l > 0 THEN {0.02**2!r} / sqrt(l) ELSE m END AS threshold FROM v)"),
+        "l2_gradient_tv": w + f", {TV} {voxels('tv')}", "l2_gradient_phase": w + f", {VOLUME} {voxels('vol', '0.0')}",
+        "l2_scale": w + f", {TV}, e AS (SELECT 'none' AS kind, sum(re * re + im * im) AS e FROM vol UNION ALL SELECT 'phase', sum(im * im) FROM vol UNION ALL SELECT 'tv', sum(re * re + im * im) FROM tv) SELECT kind, p AS per_volume, {r('CASE WHEN p THEN 0.1 * sqrt(2 / e) ELSE 0.1 * 2 / e END * 1e6', 4)} AS scale FROM e, (VALUES (false), (true)) m(p)",
+        "normalised_blur": w + f", b AS (SELECT a.vec_id, a.n, sum(b.x * exp(-(b.n - a.n) * (b.n - a.n) / 8.0)) AS s, sum(CASE WHEN b.x > 0 THEN exp(-(b.n - a.n) * (b.n - a.n) / 8.0) ELSE 0 END) AS m FROM line a JOIN line b ON a.vec_id = b.vec_id AND abs(a.n - b.n) <= 6 GROUP BY a.vec_id, a.n) SELECT vec_id, n, {r('CASE WHEN m > 0 THEN s / m ELSE 0.0 END', 5)} AS x FROM b",
+        "dcf_loop": density_loop(2, 3.0), "kspace_residual": residual(),
+        "shot_signal": w + f"SELECT o_orderpriority, count(*) AS n, {r('sum(kw * o_totalprice)', 0)} AS signal FROM pt JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority",
+        "coil_rejection_disc": w + f", p AS (SELECT label, sum(CASE WHEN pow((n // 8 - 4) / 8.0, 2) + pow((n % 8 - 4) / 8.0, 2) < 0.3 * 0.3 THEN abs(x) ELSE 0.0 END) / sum(abs(x)) AS f FROM line GROUP BY label) SELECT label, {r('f', 6)} AS fraction, CAST(f >= 0.3 AS INTEGER) AS keep FROM p",
+        "fov_sphere": w + ", h AS (SELECT n, CAST(vec_id % 64 AS INTEGER) AS y FROM line WHERE abs(x) > (SELECT max(abs(x)) FROM line) * 0.5 AND pow(2.0 * n / 64 - 1, 2) + pow(2.0 * (vec_id % 64) / 64 - 1, 2) <= 1), b AS (SELECT min(n) AS n_min, max(n) AS n_max, min(y) AS y_min, max(y) AS y_max FROM h) SELECT *, CAST(least(ceil(greatest(32 - n_min, n_max - 32) * 2 / 16.0) * 16, 64) AS INTEGER) AS n_size, CAST(least(ceil(greatest(32 - y_min, y_max - 32) * 2 / 16.0) * 16, 64) AS INTEGER) AS y_size FROM b",
         "poly_moments": w + f", p AS (SELECT kx, ky, kw * 100 AS kz, re FROM pt) {cells}",
         "fista_momentum": w + f"SELECT vec_id, n, {r(f'{1 + 4 / 6!r} * x - {4 / 6!r} * (x * 0.5)', 6)} AS x FROM line",
-        "ellipsoid_phantom": f"SELECT density, count(*) AS n FROM (SELECT CASE WHEN {e2} < 0.5625 THEN 1 WHEN {e2} < 1 THEN 4 ELSE 0 END AS density FROM range(0, 32) a(x), range(0, 32) b(y), range(0, 32) c(z)) GROUP BY density",
+        "ellipsoid_phantom": f"SELECT density, count(*) AS n FROM (SELECT CASE WHEN {e2} < 0.75 THEN 1 WHEN {e2} < 1 THEN 4 ELSE 0 END AS density FROM range(0, 32) a(x), range(0, 32) b(y), range(0, 32) c(z)) GROUP BY density",
         "bolus_curve": w + f", s AS (SELECT event_id % 7 / 10.0 AS arrival, v AS density, f AS frame FROM sig, range(0, 6) g(f)) SELECT CAST(frame AS INTEGER) AS frame, {r(f'sum({bolus})', 4)} AS signal FROM s GROUP BY frame",
     }

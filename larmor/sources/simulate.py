@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,23 +42,36 @@ def shells(spark: SparkSession, size: int) -> DataFrame:
 
 def ellipsoid(spark: SparkSession, size: int) -> DataFrame:
     """Perfusion map: 1 inside, 4 in the shell, 0 outside; half axes 0.5, 0.35 and 0.25 of the cube."""
-    at = lambda c, a: (2.0 * F.col(c) - (size - 1)) / (2.0 * size * a)
+    at = lambda c, a: (F.col(c) - size * 0.5) / (size * a)
     r2 = at("x", 0.5) * at("x", 0.5) + at("y", 0.35) * at("y", 0.35) + at("z", 0.25) * at("z", 0.25)
-    density = F.when(r2 < 0.75 * 0.75, 1).when(r2 < 1, 4).otherwise(0)
+    density = F.when(r2 < 0.75, 1).when(r2 < 1, 4).otherwise(0)
     return voxels(spark, size).withColumn("density", density)
 
 
-def gamma_variate(t, alpha: float = 2.0, beta: float = 0.25):
-    """``t^alpha exp(-t / beta)`` over its integral; 0 before the arrival."""
-    scale = math.gamma(alpha + 1) * beta ** (alpha + 1)
-    return F.when(t <= 0, 0.0).otherwise(F.pow(t, F.lit(alpha)) * F.exp(-t / beta) / scale)
+def gamma_variate(t: Column, beta: Column, alpha: float = 2.0) -> Column:
+    """``t^alpha exp(-t / beta) / (alpha! beta^alpha)``; 0 before the arrival."""
+    return F.when(t < 0, 0.0).otherwise(F.pow(t, F.lit(alpha)) * F.exp(-t / beta) / (F.lit(math.gamma(alpha + 1)) * F.pow(beta, F.lit(alpha))))
 
 
-def bolus_frames(segments: DataFrame, frames: int, persistent: float = 0.25) -> DataFrame:
-    """Signal per frame of segments with ``arrival`` and ``density``: a bolus and a persistent share after it."""
-    every = segments.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(frames - 1)))).withColumn("since", F.col("frame") * (1.0 / frames) * 2.0 - F.col("arrival"))
-    signal = F.col("density") * (gamma_variate(F.col("since")) + F.when(F.col("since") > 0, persistent).otherwise(0.0))
-    return every.groupBy("frame").agg(F.sum(signal).alias("signal"))
+#: Length of the time course, width of the bolus, share and width of the persistent signal.
+DURATION, BOLUS, PERSISTENT, SLOWER = 3.0, 0.25, 0.25, 4.0
+
+
+def bolus_signal(since: Column, arrival: Column, density: Column) -> Column:
+    """A bolus that widens with its arrival, and a share of it that stays four times as long."""
+    beta = (F.lit(1.0) + arrival * 2.0) * BOLUS
+    return F.when(since > 0, density * (gamma_variate(since, beta) + gamma_variate(since, beta * SLOWER) * PERSISTENT)).otherwise(0.0)
+
+
+def truth_course(segments: DataFrame, frames: int, keys: list[str]) -> DataFrame:
+    """``keys, frame, time, signal``: the true time course of segments with ``arrival`` and ``density``."""
+    every = segments.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(frames - 1)))).withColumn("time", F.col("frame") * DURATION / frames)
+    return every.select(*keys, "frame", "time", bolus_signal(F.col("time") - F.col("arrival"), F.col("arrival"), F.col("density")).alias("signal"))
+
+
+def bolus_frames(segments: DataFrame, frames: int) -> DataFrame:
+    """Signal per frame, summed over segments."""
+    return truth_course(segments, frames, []).groupBy("frame").agg(F.sum("signal").alias("signal"))
 
 
 def add_noise(df: DataFrame, sigma: float, seed: int = 11) -> DataFrame:
@@ -67,6 +80,13 @@ def add_noise(df: DataFrame, sigma: float, seed: int = 11) -> DataFrame:
     return df.withColumns({"re": F.col("re") + F.lit(s) * F.randn(seed), "im": F.col("im") + F.lit(s) * F.randn(seed + 1)})
 
 
+def relative_noise(df: DataFrame, factor: float, seed: int = 11) -> DataFrame:
+    """Noise of ``factor / sqrt(2)`` times the mean magnitude in each part."""
+    mean = df.agg(F.avg(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("__mean"))
+    s = F.col("__mean") * F.lit(factor / math.sqrt(2))
+    return df.crossJoin(F.broadcast(mean)).withColumns({"re": F.col("re") + s * F.randn(seed), "im": F.col("im") + s * F.randn(seed + 1)}).drop("__mean")
+
+
 def acquisition_noise(df: DataFrame, factor: float, seed: int = 11) -> DataFrame:
     """Noise that raises a whitened unit variance to ``factor`` squared."""
     return add_noise(df, math.sqrt(factor * factor - 1), seed)
