@@ -6,7 +6,7 @@ every position): ``HASHES`` independent hashes, and under each the minima of ``M
 look at different parts of the hash's range.  A band takes one minimum from each hash; equal bands make
 candidates.  A line is compared with the first line of each of its buckets; after that, whatever the size
 of a bucket, all its lines that are not in one component yet are compared with each other.  A candidate pair
-is passed over where two bits of each minimum agree in fewer than ``AGREE`` places; every other one is
+is passed over where four bits of each minimum agree in fewer than ``AGREE`` places; every other one is
 decided by the exact Jaccard similarity of the whole sets.  Lines that are alike enough meet in distributed
 union-find, and of each component the first occurrence, by document id and line number, stays.
 
@@ -28,8 +28,8 @@ HASHES, MASKS, BANDS = 4, 8, 12
 GRAM = 5
 #: Grams that one row of the signature's aggregation holds.
 STEP = 6
-#: Least places of ``HASHES * MASKS`` in which two bits of the minima agree.
-AGREE = 20
+#: Least places of ``HASHES * MASKS`` in which four bits of the minima agree.
+AGREE = 22
 #: Components of a bucket that one task compares with each other.
 BLOCK = 256
 THRESHOLD = 0.8
@@ -39,7 +39,8 @@ BROADCAST_ROWS = 1_000_000
 _MASKS = [(((m << 61) | random.Random(m).getrandbits(61)) ^ (1 << 63)) - (1 << 63) for m in range(MASKS)]
 #: For each band the mask whose minimum it takes from each hash: every mask is used about equally often.
 _BANDS = list(zip(*[(random.Random(97 * r).sample(range(MASKS), MASKS) + random.Random(97 * r + 1).sample(range(MASKS), MASKS))[:BANDS] for r in range(HASHES)], strict=True))
-_ODD = int("01" * 32, 2)
+#: One bit of every four.
+_FOURTH = int("0001" * 16, 2)
 
 
 #: White space inside lines, as it is folded.
@@ -106,7 +107,7 @@ def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
-    """``h1, h2, d, h, n, keys, bits``: one 64-bit key for each band of a line's signature, and two bits of each minimum.
+    """``h1, h2, d, h, n, keys, bits``: one 64-bit key for each band of a line's signature, and four bits of each minimum.
 
     A row of the aggregation holds ``STEP`` grams; the last row of a line repeats the last gram, which changes no minimum.
     The rows of a line lie in one partition already: the aggregation needs no exchange.
@@ -120,17 +121,24 @@ def band_keys(lines: DataFrame) -> DataFrame:
     signed = rows.groupBy(*place).agg(*[minimum(r, m).alias(f"m{r}_{m}") for r in range(HASHES) for m in range(MASKS)])
     keys = [F.xxhash64(F.lit(b), *[f"m{r}_{m}" for r, m in enumerate(band)]) for b, band in enumerate(_BANDS)]
     # The low bits of a minimum are hashed again: for a line of one gram they would be those of the gram.
-    two = [F.xxhash64(f"m{r}_{m}").bitwiseAND(F.lit(3)) for r in range(HASHES) for m in range(MASKS)]
-    bits = two[0]
-    for k, column in enumerate(two[1:], 1):
-        bits = bits.bitwiseOR(F.shiftleft(column, 2 * k))
-    return signed.select(*place, F.array(*keys).alias("keys"), bits.alias("bits"))
+    four = [F.xxhash64(f"m{r}_{m}").bitwiseAND(F.lit(15)) for r in range(HASHES) for m in range(MASKS)]
+    words = []
+    for at in range(0, len(four), 16):
+        word = four[at]
+        for k, column in enumerate(four[at + 1 : at + 16], 1):
+            word = word.bitwiseOR(F.shiftleft(column, 4 * k))
+        words.append(word)
+    return signed.select(*place, F.array(*keys).alias("keys"), F.struct(*[w.alias(f"b{i}") for i, w in enumerate(words)]).alias("bits"))
 
 
 def _possible(x: str, y: str) -> Column:
-    """True if two bits of each minimum agree in ``AGREE`` places or more."""
-    apart = F.col(x).bitwiseXOR(F.col(y))
-    return F.lit(HASHES * MASKS) - F.bit_count(apart.bitwiseOR(F.shiftrightunsigned(apart, 1)).bitwiseAND(F.lit(_ODD))) >= AGREE
+    """True if four bits of each minimum agree in ``AGREE`` places or more."""
+    differ = F.lit(0)
+    for i in range(HASHES * MASKS // 16):
+        apart = F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))
+        two = apart.bitwiseOR(F.shiftrightunsigned(apart, 1))
+        differ = differ + F.bit_count(two.bitwiseOR(F.shiftrightunsigned(two, 2)).bitwiseAND(F.lit(_FOURTH)))
+    return F.lit(HASHES * MASKS) - differ >= AGREE
 
 
 def bucket_rows(signed: DataFrame) -> DataFrame:
