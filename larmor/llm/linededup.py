@@ -10,8 +10,8 @@ is passed over where four bits of each minimum agree in fewer than ``AGREE`` pla
 decided by the exact Jaccard similarity of the whole sets.  Lines that are alike enough meet in distributed
 union-find, and of each component the first occurrence, by document id and line number, stays.
 
-What is missed, by the binomial formulas: of pairs at similarity 0.8 some 0.6 % share no band and 0.01 % of the
-others fall short of ``AGREE``; both shares fall quickly above 0.8.
+What is missed, by the binomial formulas: of pairs at similarity 0.8 some 0.7 % share no band and 0.03 % fall
+short of ``AGREE``; both shares fall quickly above 0.8.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ HASHES, MASKS, BANDS = 4, 8, 12
 GRAM = 5
 #: Grams that one row of the signature's aggregation holds.
 STEP = 6
-#: Least places of ``HASHES * MASKS`` in which four bits of the minima agree.
-AGREE = 22
+#: Least places of ``HASHES * MASKS`` in which four bits of the minima agree.  Minima that differ have equal bits once in 16 times.
+AGREE = 18
 #: Components of a bucket that one task compares with each other.
 BLOCK = 256
 THRESHOLD = 0.8

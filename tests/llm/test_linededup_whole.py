@@ -1,6 +1,7 @@
 """Lines compared over their whole length, by all 5-grams of characters, whatever the size of a bucket."""
 
 import random
+from math import comb
 
 from pyspark.sql import functions as F
 
@@ -78,3 +79,14 @@ def test_every_pair_of_a_large_bucket(spark, monkeypatch):
     want = brute(docs)
     assert 50 <= len(want) <= 60
     assert left(spark, docs) == want
+
+
+def test_what_bands_and_the_filter_miss():
+    """At similarity 0.8: pairs short of AGREE by the binomial formula, pairs without a band by counting."""
+    places, equal = L.HASHES * L.MASKS, 0.8 + 0.2 / 16
+    assert sum(comb(places, k) * equal**k * (1 - equal) ** (places - k) for k in range(L.AGREE)) < 0.0005
+    draw, missed, tries = random.Random(5), 0, 50_000
+    for _ in range(tries):
+        agree = [[draw.random() < 0.8 for _ in range(L.MASKS)] for _ in range(L.HASHES)]
+        missed += not any(all(agree[r][m] for r, m in enumerate(band)) for band in L._BANDS)
+    assert missed / tries < 0.01
