@@ -186,11 +186,11 @@ def search(index: Index, queries: DataFrame, id_col: str = "vec_id", vector_col:
 
     ``metric`` is ``ip`` (largest inner product) or ``l2`` (score: minus the squared distance).  Scores
     are exact, in double precision.  A query does not find its own id; all rows come if there are fewer.
-    Unusable queries give no rows.
+    Unusable queries give no rows; an id asked with several vectors is asked with the smallest of them.
     """
     dim, quantizer = index.dim, index.quantizer
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<float>").alias("q"))
-    asked = asked.where(F.col("query_id").isNotNull() & usable(F.col("q"), dim)).dropDuplicates(["query_id"])
+    asked = asked.where(F.col("query_id").isNotNull() & usable(F.col("q"), dim)).groupBy("query_id").agg(F.min("q").alias("q"))
     blocks = max(1, -(-asked.count() // query_rows))
 
     def pack(table: pa.Table) -> pa.Table:

@@ -68,6 +68,15 @@ def test_rows_that_take_no_part(spark):
     assert ann.search(ann.build(table), table.where(F.lit(False))).collect() == []
 
 
+def test_repeated_query_ids(spark):
+    rows = rows_of(spark, np.array([[1.0, 0.0], [0.0, 1.0], [0.6, 0.5]], np.float32))
+    asked = spark.createDataFrame([(9, [0.0, 1.0]), (9, [1.0, 0.0]), (9, [0.0, 1.0])], ROW)
+    index = ann.build(rows)
+    want = [(1, 1.0), (2, 0.5), (0, 0.0)]
+    for order in (asked, asked.orderBy(F.desc("embedding")), asked.repartition(3)):
+        assert answers(ann.search(index, order)) == {9: want}
+
+
 def test_beam_and_norms():
     x = np.random.default_rng(2).normal(size=(500, 8)).astype(np.float32)
     quantizer = ann.Quantizer.train(x, stages=4, words=16)
