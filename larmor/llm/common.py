@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,15 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of ended steps deleted: Spark does so once the driver has collected their handles as garbage.
+
+    Without a call they stay until the driver happens to run short of memory, and the disk holds those of all steps.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bounded_chunks(df: DataFrame, size: Column, limit: int) -> Iterator[list]:
     """Rows of ``df`` on the driver in lists whose summed ``size`` stays near ``limit``; one list at a time."""
     chunk, held = [], 0

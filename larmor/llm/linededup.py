@@ -6,9 +6,11 @@ every position): ``HASHES`` independent hashes, and under each the minima of ``M
 look at different parts of the hash's range.  A band takes one minimum from each hash; equal bands make
 candidates.  A line is compared with the first line of each of its buckets; after that, whatever the size
 of a bucket, all its lines that are not in one component yet are compared with each other.  A candidate pair
-is passed over where four bits of each minimum agree in fewer than ``AGREE`` places; every other one is
-decided by the exact Jaccard similarity of the whole sets.  Lines that are alike enough meet in distributed
-union-find, and of each component the first occurrence, by document id and line number, stays.
+is passed over where four bits of each minimum agree in fewer than ``AGREE`` places, or where ``MAP`` bits, one
+of them set by each gram, differ in more places than sets of this size can that are alike enough (no pair is
+lost by that: each such place is a gram of one set alone).  Every other one is decided by the exact Jaccard
+similarity of the whole sets.  Lines that are alike enough meet in distributed union-find, and of each
+component the first occurrence, by document id and line number, stays.
 
 What is missed, by the binomial formulas: of pairs at similarity 0.8 some 0.7 % share no band and 0.03 % fall
 short of ``AGREE``; both shares fall quickly above 0.8.
@@ -17,11 +19,12 @@ short of ``AGREE``; both shares fall quickly above 0.8.
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, free_shuffles, materialize
 from .components import connected_components
 
 HASHES, MASKS, BANDS = 4, 8, 12
@@ -30,8 +33,10 @@ GRAM = 5
 STEP = 6
 #: Least places of ``HASHES * MASKS`` in which four bits of the minima agree.  Minima that differ have equal bits once in 16 times.
 AGREE = 18
-#: Components of a bucket that one task compares with each other.
-BLOCK = 256
+#: Longs of 64 bits of which each gram of a line sets one bit.
+MAP = 4
+#: Components of a bucket that one task compares with each other.  A line is sent to as many tasks as its bucket has blocks.
+BLOCK = 2048
 THRESHOLD = 0.8
 #: So many line numbers or keys are sent to every executor; a larger table is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -107,7 +112,7 @@ def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
-    """``h1, h2, d, h, n, keys, bits``: one 64-bit key for each band of a line's signature, and four bits of each minimum.
+    """``h1, h2, d, h, n, keys, bits``: one 64-bit key for each band of a line's signature; four bits of each minimum, the map of grams and their number.
 
     A row of the aggregation holds ``STEP`` grams; the last row of a line repeats the last gram, which changes no minimum.
     The rows of a line lie in one partition already: the aggregation needs no exchange.
@@ -115,10 +120,14 @@ def band_keys(lines: DataFrame) -> DataFrame:
     place = ("h1", "h2", "d", "h", "n")
     coded = lines.select(*place, _code(F.col("line")).alias("code")).withColumn("last", _last(F.col("code")))
     rows = coded.select(*place, "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
-    rows = rows.select(*place, *[_gram(F.col("code"), F.least(F.col("i") + j, F.col("last"))).alias(f"x0_{j}") for j in range(STEP)])
+    rows = rows.select(*place, "last", *[_gram(F.col("code"), F.least(F.col("i") + j, F.col("last"))).alias(f"x0_{j}") for j in range(STEP)])
     rows = rows.select(*rows.columns, *[F.xxhash64(F.lit(r), f"x0_{j}").alias(f"x{r}_{j}") for r in range(1, HASHES) for j in range(STEP)])
     minimum = lambda r, m: F.min(F.least(*[F.col(f"x{r}_{j}").bitwiseXOR(F.lit(_MASKS[m])) for j in range(STEP)]))
-    signed = rows.groupBy(*place).agg(*[minimum(r, m).alias(f"m{r}_{m}") for r in range(HASHES) for m in range(MASKS)])
+    at = lambda j: F.shiftrightunsigned(f"x0_{j}", 32).bitwiseAND(F.lit(63)).cast("int")
+    one = lambda j, w: F.call_function("shiftleft", (F.col(f"x0_{j}").bitwiseAND(F.lit(MAP - 1)) == w).cast("long"), at(j))
+    maps = [F.bit_or(reduce(Column.bitwiseOR, [one(j, w) for j in range(STEP)])).alias(f"g{w}") for w in range(MAP)]
+    minima = [minimum(r, m).alias(f"m{r}_{m}") for r in range(HASHES) for m in range(MASKS)]
+    signed = rows.groupBy(*place).agg(*minima, *maps, (F.max("last") + 1).alias("grams"))
     keys = [F.xxhash64(F.lit(b), *[f"m{r}_{m}" for r, m in enumerate(band)]) for b, band in enumerate(_BANDS)]
     # The low bits of a minimum are hashed again: for a line of one gram they would be those of the gram.
     four = [F.xxhash64(f"m{r}_{m}").bitwiseAND(F.lit(15)) for r in range(HASHES) for m in range(MASKS)]
@@ -128,17 +137,23 @@ def band_keys(lines: DataFrame) -> DataFrame:
         for k, column in enumerate(four[at + 1 : at + 16], 1):
             word = word.bitwiseOR(F.shiftleft(column, 4 * k))
         words.append(word)
-    return signed.select(*place, F.array(*keys).alias("keys"), F.struct(*[w.alias(f"b{i}") for i, w in enumerate(words)]).alias("bits"))
+    return signed.select(*place, F.array(*keys).alias("keys"), F.struct(*[w.alias(f"b{i}") for i, w in enumerate(words)], *[f"g{w}" for w in range(MAP)], "grams").alias("bits"))
 
 
-def _possible(x: str, y: str) -> Column:
-    """True if four bits of each minimum agree in ``AGREE`` places or more."""
+def _possible(x: str, y: str, threshold: float = THRESHOLD) -> Column:
+    """True if four bits of each minimum agree in ``AGREE`` places or more, and the maps of grams allow the similarity.
+
+    Sets A and B of similarity t or more differ in at most (1 - t) / (1 + t) * (|A| + |B|) grams.  Their maps differ in no more
+    places than the sets do in grams, and a line's grams with repeats are no fewer than its set.
+    """
     differ = F.lit(0)
     for i in range(HASHES * MASKS // 16):
         apart = F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))
         two = apart.bitwiseOR(F.shiftrightunsigned(apart, 1))
         differ = differ + F.bit_count(two.bitwiseOR(F.shiftrightunsigned(two, 2)).bitwiseAND(F.lit(_FOURTH)))
-    return F.lit(HASHES * MASKS) - differ >= AGREE
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.g{w}").bitwiseXOR(F.col(f"{y}.g{w}"))) for w in range(MAP)])
+    fit = apart * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col(f"{x}.grams") + F.col(f"{y}.grams")) + F.lit(1e-6)
+    return fit & (F.lit(HASHES * MASKS) - differ >= AGREE)
 
 
 def bucket_rows(signed: DataFrame) -> DataFrame:
@@ -158,26 +173,32 @@ def with_bits(pairs: DataFrame, signed: DataFrame, *names: str) -> DataFrame:
     return pairs
 
 
-def hub_pairs(rows: DataFrame, signed: DataFrame) -> DataFrame:
+def hub_pairs(rows: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``a, b`` (64-bit line keys, a < b): each line of a bucket with the bucket's first."""
     pairs = rows.select(F.col("hub").alias("a"), F.col("a").alias("b")).distinct()
-    return with_bits(pairs, signed, "a", "b").where(_possible("a_bits", "b_bits")).select("a", "b")
+    return with_bits(pairs, signed, "a", "b").where(_possible("a_bits", "b_bits", threshold)).select("a", "b")
+
+
+def bucket_components(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``key, a, r``: each bucket's lines, but its first, with the roots of their components in ``known``."""
+    roots = known.select(F.col("node.h1").alias("a"), F.col("root.h1").alias("r"))
+    return rows.join(roots, "a", "left").select("key", "a", F.coalesce("r", "a").alias("r"))
 
 
-def cross_pairs(rows: DataFrame, signed: DataFrame, known: DataFrame) -> DataFrame:
-    """``a, b`` (a < b): all pairs of a bucket's lines in different components of ``known``, but those with its first line.
+def cross_pairs(members: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``a, b`` (a < b): all possible pairs of a bucket's lines in different components of ``members(key, a, r)``.
 
     The components of a bucket are dealt into blocks and each pair of blocks is one group, so that no task holds a large bucket.
+    The filter is part of the join: of the pairs compared only the possible ones are rows.
     """
-    roots = known.select(F.col("node.h1").alias("a"), F.col("root.h1").alias("r"))
-    members = rows.join(roots, "a", "left").select("key", "a", F.coalesce("r", "a").alias("r"))
-    groups = with_bits(members, signed, "a").groupBy("key", "r").agg(F.collect_list(F.struct("a", F.col("a_bits").alias("t"))).alias("of"))
-    many = groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("k")).where("k > 1").drop("k")
-    dealt = groups.join(many, "key").withColumn("own", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "r", "of")
-    one = dealt.select("key", "lo", "hi", F.col("own").alias("o"), F.col("r").alias("q"), F.col("of").alias("xs"))
-    cells = dealt.join(one, ["key", "lo", "hi"]).where("q < r and (lo = hi or o <> own)")
-    pairs = cells.select(F.explode("xs").alias("x"), "of").select("x", F.explode("of").alias("y")).where(_possible("x.t", "y.t"))
+    many = members.select("key", "r").distinct().groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    held = with_bits(members.join(many, "key"), signed, "a").withColumn("own", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int"))
+    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "r", "a", "a_bits")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    same = reduce(Column.__and__, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "lo", "hi")])
+    apart = (F.col("x.r") < F.col("y.r")) & ((F.col("x.lo") == F.col("x.hi")) | (F.col("x.own") != F.col("y.own")))
+    pairs = x.join(y, same & apart & _possible("x.a_bits", "y.a_bits", threshold))
     return pairs.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
 
 
@@ -207,23 +228,34 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(lines, components): every distinct line with its first occurrence, and ``(node, root)`` of fuzzy components."""
+    spark = docs.sparkSession
     signed = materialize(band_keys(distinct_lines(docs, id_col, text_col)), "line-bands")
+    free_shuffles(spark)
 
     def alike(found: DataFrame) -> DataFrame:
         pairs = materialize(found, "line-pairs")
+        free_shuffles(spark)
         ids = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
         wanted = signed.select("h1", "h2", "d", "h", "n").join(_maybe_broadcast(ids, ids.count()), "h1")
         texts = materialize(_texts(docs, wanted, id_col, text_col), "line-texts")
+        free_shuffles(spark)
         edges = materialize(_verify(pairs, texts, threshold), "line-edges")
         discard(pairs, texts)
+        free_shuffles(spark)
         return edges
 
     rows = materialize(bucket_rows(signed), "line-buckets")
-    edges = alike(hub_pairs(rows, signed))
+    free_shuffles(spark)
+    edges = alike(hub_pairs(rows, signed, threshold))
     known = connected_components(edges)
-    more = alike(cross_pairs(rows, signed, known))
+    members = materialize(bucket_components(rows, known), "line-members")
+    discard(rows, known)
+    free_shuffles(spark)
+    more = alike(cross_pairs(members, signed, threshold))
+    discard(members)
     found = connected_components(edges.unionByName(more))
-    discard(rows, edges, more, known)
+    discard(edges, more)
+    free_shuffles(spark)
     return signed, found
 
 
@@ -246,6 +278,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     signed, components = duplicate_lines(docs, id_col, text_col, threshold)
     kept = materialize(kept_places(signed, components), "kept-lines")
     discard(signed, components)
+    free_shuffles(docs.sparkSession)
     numbers = kept.agg(F.sum(F.size("kept"))).first()[0] or 0
     kept = kept.select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("kept").alias("__kept"))
     d = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))

@@ -90,3 +90,30 @@ def test_what_bands_and_the_filter_miss():
         agree = [[draw.random() < 0.8 for _ in range(L.MASKS)] for _ in range(L.HASHES)]
         missed += not any(all(agree[r][m] for r, m in enumerate(band)) for band in L._BANDS)
     assert missed / tries < 0.01
+
+
+def test_map_of_grams_passes_no_alike_pair(spark, monkeypatch):
+    # All pairs at the threshold or above pass; most below 0.6 do not, which the minima alone let through.
+    monkeypatch.setattr(L, "AGREE", 0)
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    rows = []
+    for i in range(400):
+        base = [rng.choice(letters[: rng.choice([2, 27])]) for _ in range(rng.choice([3, 5, 40, 100, 100, 100, 400]))]
+        other = [rng.choice(letters) if rng.random() < rng.choice([0.01, 0.02, 0.05, 0.1]) else c for c in base]
+        rows += [(2 * i, "x" + "".join(base) + "x"), (2 * i + 1, "x" + "".join(other) + "x")]
+    lines = spark.createDataFrame(rows, "i long, line string").select(F.col("i").alias("h1"), F.col("i").alias("h2"), F.col("i").alias("d"), F.col("i").alias("h"), F.lit(0).alias("n"), "line")
+    bits = L.band_keys(lines).select("h1", "bits")
+    pairs = bits.where("h1 % 2 = 0").select((F.col("h1") + 1).alias("o"), F.col("bits").alias("x")).join(bits.select(F.col("h1").alias("o"), F.col("bits").alias("y")), "o")
+    passed = {r["o"]: r["ok"] for r in pairs.select("o", L._possible("x", "y").alias("ok")).collect()}
+    alike = {rows[2 * i + 1][0]: len(grams(rows[2 * i][1]) & grams(rows[2 * i + 1][1])) / len(grams(rows[2 * i][1]) | grams(rows[2 * i + 1][1])) for i in range(400)}
+    assert len(passed) == 400 and all(passed[o] for o, j in alike.items() if j >= 0.8)
+    far = [o for o, j in alike.items() if j < 0.6 and len(rows[o][1]) <= 102]
+    assert len(far) > 20 and sum(passed[o] for o in far) < 0.2 * len(far)
+
+
+def test_shuffle_files_go_between_steps(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(L, "free_shuffles", lambda s: calls.append(s))
+    L.dedup(spark.createDataFrame([(1, "one line of text\nanother line"), (2, "one line of text!")], DOC)).collect()
+    assert len(calls) >= 6
