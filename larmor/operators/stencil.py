@@ -6,13 +6,18 @@ are narrow generators followed by one grouped sum; partial sums are made before
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larmor.functions import cplx, kernels
 
+#: So many cells of a grid, or places of samples, are sent to every executor; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Axis:
@@ -92,14 +97,20 @@ def widened(axes: list[Axis], acceleration: float) -> Column:
     return r / 128.0 * (acceleration - 1.0) + 1.0
 
 
-def density_weights(samples: DataFrame, axes: list[Axis], sample_keys: list[str], store, rounds: int = 20, kind: str = "polynomial", acceleration: float = 1.0, **more) -> DataFrame:
+def density_weights(samples: DataFrame, axes: list[Axis], sample_keys: list[str], store, rounds: int = 20, kind: str = "polynomial", acceleration: float = 1.0, drop=None, **more) -> DataFrame:
     """Fixed point of ``density_step`` from 1, then its absolute value times the cube of the widening: ``samples, w``.
 
-    ``store`` writes a table and reads it back, so that the plan does not grow with the rounds.
+    ``store`` writes a table and reads it back, so that the plan does not grow with the rounds; ``drop`` is called with
+    stored tables that nothing reads any more.
     """
     w = samples.withColumn("w", F.lit(1.0))
+    last: list[DataFrame] = []
     for _ in range(rounds):
-        w = store(density_step(w, axes, sample_keys, kind=kind, widen=widened(axes, acceleration) if acceleration != 1 else None, **more))
+        held: list[DataFrame] = []
+        w = store(density_step(w, axes, sample_keys, kind=kind, widen=widened(axes, acceleration) if acceleration != 1 else None, store=lambda df, held=held: held.append(store(df)) or held[-1], **more))
+        if drop is not None:
+            drop(*held, *last)
+        last = [w]
     return w.withColumn("w", F.abs("w") * F.pow(widened(axes, acceleration), F.lit(3.0)))
 
 
@@ -118,12 +129,29 @@ def residual(samples: DataFrame, axes: list[Axis], parts: tuple[str, str], densi
     return sums.select(*keys, F.when(size > 0, F.col("dd") * F.col("dd") / size * F.col("rr") - F.col("dd")).otherwise(F.col("dd")).alias("residual"))
 
 
-def density_step(samples: DataFrame, axes: list[Axis], sample_keys: list[str], weight: str = "w", kind: str = "triangle", least: float = 1e-3, **more) -> DataFrame:
+def density_step(samples: DataFrame, axes: list[Axis], sample_keys: list[str], weight: str = "w", kind: str = "triangle", least: float = 1e-3, store=None, **more) -> DataFrame:
     """One fixed-point step ``w <- w / (C C^T w)``; 0 where the denominator is smaller than ``least``.
 
-    ``widen`` holds for the way back only.
+    ``widen`` holds for the way back only.  Both ways go by places: samples of equal coordinates are spread and looked
+    up once, so that the stencil rows are never those of all samples, and the grid meets the places as a broadcast unless it
+    is large.  With ``store`` the looked-up places are a table of their own, counted before it is sent to the executors.
+    Samples of equal keys are one sample: their denominators are added.
     """
-    grid = scatter(samples, axes, [weight], kind=kind, **{k: v for k, v in more.items() if k != "widen"})
-    back = interpolated(samples, grid, axes, [weight], sample_keys, kind=kind, **more).withColumnRenamed(weight, "__d")
-    step = F.when(F.coalesce(F.abs("__d"), F.lit(0.0)) < least, 0.0).otherwise(F.col(weight) / F.col("__d"))
-    return samples.join(back, sample_keys, "left").withColumn(weight, step).drop("__d")
+    names = [a.name for a in axes]
+    places = samples.groupBy(*names).agg(F.sum(weight).alias(weight))
+    if store is not None:
+        places = store(places)
+    grid = scatter(places, axes, [weight], kind=kind, **{k: v for k, v in more.items() if k != "widen"})
+    cells = math.prod(a.size for a in axes)
+    looks = stencil(places.select(*names), axes, kind, **more).join(F.broadcast(grid) if cells <= BROADCAST_ROWS else grid, [a.cell for a in axes])
+    back = looks.groupBy(*names).agg(F.sum(F.col(weight) * F.col("weight")).alias("__d")).select(*[F.col(n).alias(f"__{n}") for n in names], "__d")
+    if store is not None:
+        back = store(back)
+        back = F.broadcast(back) if back.count() <= BROADCAST_ROWS else back
+    same = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names])
+    met = samples.join(back, same, "left").drop(*[f"__{n}" for n in names])
+    # One shuffle of narrow rows.  Rows with a null in their key belong to no sample.
+    met = met.withColumn("__sum", F.sum("__d").over(Window.partitionBy(*sample_keys)))
+    unkeyed = reduce(Column.__or__, [F.col(k).isNull() for k in sample_keys])
+    step = F.when(unkeyed | (F.coalesce(F.abs("__sum"), F.lit(0.0)) < least), 0.0).otherwise(F.col(weight) / F.col("__sum"))
+    return met.withColumn(weight, step).drop("__d", "__sum")

@@ -331,14 +331,14 @@ def degrid_gather(spark, sf):
 @query
 def dcf_step(spark, sf):
     s = src.samples(spark, sf).withColumn("kx", F.col("kx") + 0.25).withColumn("w", F.lit(1.0))
-    return stencil.density_step(s.select(*KEYS, "kx", "ky", "w"), AXES, KEYS).select(*KEYS, settled(F.col("w"), 8).alias("w"))
+    return stencil.density_step(s.select(*KEYS, "kx", "ky", "w"), AXES, KEYS, store=lambda df: recon.stored(df, "density")).select(*KEYS, settled(F.col("w"), 8).alias("w"))
 
 
 @query
 def dcf_loop(spark, sf):
     s = src.samples(spark, sf).select(*KEYS, (F.col("kx") + 0.25).alias("kx"), "ky")
     store = lambda df: recon.stored(df, "density")
-    return stencil.density_weights(s, AXES, KEYS, store, 2, acceleration=3.0).select(*KEYS, settled(F.col("w") * 1e6, 3).alias("w"))
+    return stencil.density_weights(s, AXES, KEYS, store, 2, acceleration=3.0, drop=recon.dropped).select(*KEYS, settled(F.col("w") * 1e6, 3).alias("w"))
 
 
 @query

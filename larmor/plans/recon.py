@@ -7,6 +7,7 @@ Solvers are loops on the driver over these two: an iteration is one written tabl
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -33,7 +34,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the tables behind results of ``stored`` that nothing reads any more, and have the shuffle files of ended steps deleted."""
+    for df in tables:
+        spark = df.sparkSession
+        if path := df.__dict__.pop("_stored", None):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    if tables:
+        spark._jvm.System.gc()
 
 
 def windowed(x: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:

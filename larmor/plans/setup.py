@@ -151,7 +151,7 @@ def prepare(spark: SparkSession, samples: DataFrame, sizes: dict[str, int], s: S
     if s.density == "iterate":
         axes = [stencil.Axis(t, 2 * sizes[a] + 16, 2.0) for t, a in zip(trajectory, names, strict=True)]
         one = samples.where("coil = 0").select(*keys, *trajectory)
-        found = stencil.density_weights(one, axes, keys, lambda df: recon.stored(df, "density"), s.density_rounds, acceleration=s.density_acceleration)
+        found = stencil.density_weights(one, axes, keys, lambda df: recon.stored(df, "density"), s.density_rounds, acceleration=s.density_acceleration, drop=recon.dropped)
         samples = recon.stored(samples.drop("kw").join(found.select(*keys, F.col("w").alias("kw")), keys), "weighted")
     low = recon.Encoding(samples.where("encode = 0").withColumn("frame", F.lit(0)), sizes, None, options)
     maps = coil_maps(low.images(low.samples).drop("frame"), sizes, many, s)
