@@ -1,22 +1,21 @@
 """Language-model scores by context-tree weighting, beside a unigram base score.
 
 A text is cut into pieces: up to ``PIECE`` bytes that are not white space with a few of white space after
-them, or white space alone.  Each byte of a piece, the stop after its last byte, and the end of the text
-(an empty piece) is a symbol; it is decomposed into eight binary decisions, and each decision is predicted
-in the contexts of the last 0, 1, ... ``DEPTH`` bytes, which reach back to the byte before the piece.  A
-node of the context tree has a Krichevsky-Trofimov estimate from its counts and is weighted with the product
+them, or white space alone.  Each byte of the text and its end is a symbol; it is decomposed into eight binary
+decisions, and each decision is predicted in the contexts of the last 0, 1, ... ``DEPTH`` bytes of the text, whatever
+pieces they lie in.  A node of the context tree has a Krichevsky-Trofimov estimate from its counts and is weighted with the product
 of its children by one half each; the weights after all training data mix the estimates of all depths along a
 context's path.
 
-Nothing is sampled and no node is left out.  As contexts stay within a piece, the counts of distinct pieces
-hold every count of the tree: pieces are counted over all texts, with sums in each task before the
-shuffle; the distinct pieces, and not the texts, are laid out as (context, symbol) cells; and the cells are
+Nothing is sampled and no node is left out.  A piece with the ``DEPTH`` bytes before it is a unit, which has the whole
+context of each of its symbols, so the counts of distinct units hold every count of the tree: units are counted over all
+texts, with sums in each task before the shuffle; the distinct units, and not the texts, are laid out as (context, symbol) cells; and the cells are
 dealt out by their last ``ROUTE`` bytes of context, so that whole subtrees meet in a task.  What tasks say
 about the shallow contexts is one row for each last byte and binary node, at most 65,536 in all, and these
-rows alone reach the driver.  Cells, pieces and words stay in tables that grow with the corpus.
+rows alone reach the driver.  Cells, units and words stay in tables that grow with the corpus.
 
 A piece of less than ``PIECE`` bytes that does not continue a word is a word with its white space, so pieces give
-the words' counts too; longer words are counted by themselves.  The most frequent pieces (``HEAD_ITEMS``, a fixed
+the words' counts too; longer words are counted by themselves.  The most frequent units (``HEAD_ITEMS``, a fixed
 number) travel to all tasks with both scores; all others meet theirs in a shuffled join, which then has no hot key.
 """
 
@@ -26,7 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import accumulate, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +42,8 @@ HEAD_ITEMS = 1 << 19
 #: Cells of a task, about.
 TASK_CELLS = 400_000
 ALPHA = 0.1
-#: Bytes that UTF-8 never has: the end of a piece, the place before a text, and what lies before a context's reach.
-_STOP, _START, _PAD = 0xFF, 0xFE, 0xFD
+#: Bytes that UTF-8 never has: the end of a text, and the places before it.
+_STOP, _START = 0xFF, 0xFE
 _WHITE = rb"\x20\x09-\x0d"
 _SPLIT = re.compile(rb"[^%b]{1,%d}[%b]{0,4}|[%b]{1,%d}" % (_WHITE, PIECE, _WHITE, _WHITE, PIECE))
 #: Distinct items that a task holds while it counts.
@@ -54,11 +53,10 @@ LONG, UNIT = 0, 1
 
 
 def units(text: bytes) -> list[bytes]:
-    """The pieces of a text with the byte before each; last the empty piece that ends the text."""
-    pieces = _SPLIT.findall(text)
-    if not pieces:
-        return [bytes([_START])]
-    return [bytes([_START]) + pieces[0], *[a[-1:] + b for a, b in zip(pieces, pieces[1:], strict=False)], pieces[-1][-1:]]
+    """The pieces of a text with the ``DEPTH`` bytes before each; last the empty piece that ends the text."""
+    whole = bytes([_START]) * DEPTH + text
+    ends = accumulate(map(len, _SPLIT.findall(text)), initial=DEPTH)
+    return [*[whole[a - DEPTH : b] for a, b in pairwise(ends)], whole[-DEPTH:]]
 
 
 def long_words(words: list[bytes]) -> list[bytes]:
@@ -68,19 +66,18 @@ def long_words(words: list[bytes]) -> list[bytes]:
 
 def word_of(unit: bytes) -> bytes | None:
     """The word that a unit holds whole; None where it has white space alone, nothing, or a part of a long word."""
-    word = unit[1:].rstrip()
-    whole = 0 < len(word) < PIECE and (unit[0] == _START or unit[:1].isspace()) and not word[:1].isspace()
+    before, word = unit[DEPTH - 1 : DEPTH], unit[DEPTH:].rstrip()
+    whole = 0 < len(word) < PIECE and (before[0] == _START or before.isspace()) and not word[:1].isspace()
     return word if whole else None
 
 
 def cells(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(context, symbol) of every symbol of the units as one 64-bit key, last byte of context first; and each key's unit."""
-    gap = bytes([_PAD]) * DEPTH
-    flat = np.frombuffer(b"".join([gap + x + bytes([_STOP]) for x in items]), np.uint8)
-    sizes = np.fromiter(map(len, items), np.int64, len(items))
+    flat = np.frombuffer(b"".join([x if len(x) > DEPTH else x + bytes([_STOP]) for x in items]), np.uint8)
+    sizes = np.maximum(np.fromiter(map(len, items), np.int64, len(items)) - DEPTH, 1)
     unit = np.repeat(np.arange(len(items)), sizes)
-    # Behind the gap and the byte before the piece come its bytes and the stop: as many symbols as the unit has bytes.
-    ends = np.cumsum(sizes + DEPTH + 1)
+    # Behind the bytes before the piece come its own, or the stop: these are the symbols.
+    ends = np.cumsum(sizes + DEPTH)
     place = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(ends - sizes, sizes)
     key = flat[place].astype(np.uint64)
     for j in range(1, DEPTH + 1):
