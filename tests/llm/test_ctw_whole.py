@@ -44,3 +44,28 @@ def test_symbols_are_the_bytes_and_the_end(spark):
     got = ctw.score(spark.createDataFrame([(1, text)], DOC), F.lit(False)).first()
     assert got["score"] == pytest.approx((len(text) + 1) * 8 * math.log10(0.5))
     assert len(ctw.cells(ctw.units(text.encode()))[0]) == len(text) + 1
+
+
+def test_chunks_parts_and_rounds_change_no_score(spark, monkeypatch):
+    texts = ["he and she and he", "", "abracadabra  abra\n\n", "x" * 90, "she and abra ä中", None] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC).coalesce(2)
+    whole = {r["doc_id"]: r for r in ctw.score(docs, F.col("doc_id") % 5 > 0).collect()}
+    monkeypatch.setattr(ctw, "CHUNK", 40)
+    monkeypatch.setattr(ctw, "PART", 3)
+    monkeypatch.setattr(ctw, "ROUND", 100)
+    small = {r["doc_id"]: r for r in ctw.score(docs, F.col("doc_id") % 5 > 0).collect()}
+    assert len(whole) == len(small) == len(texts)
+    for i, r in whole.items():
+        assert small[i]["score"] == pytest.approx(r["score"], rel=1e-9)
+        assert small[i]["base_score"] == pytest.approx(r["base_score"], rel=1e-9)
+        assert (small[i]["n_tokens"], small[i]["n_known"]) == (r["n_tokens"], r["n_known"])
+
+
+def test_a_chunk_sends_each_cell_once(spark):
+    # A thousand copies of a text are a few rows of distinct cells, not a row for each symbol or unit.
+    rows = [(i, "the same words over and over again", True) for i in range(1000)]
+    docs = spark.createDataFrame(rows, DOC + ", learn boolean").coalesce(1).select("doc_id", F.col("text").cast("binary").alias("t"), "learn")
+    asked = ctw.chunk_cells(ctw.pack(docs), 4, True).collect()
+    assert len(asked) <= 4 and sum(r["k"] for r in asked) == 35
+    assert sum(ctw._loose(r["n"], r["k"], int).sum() for r in asked) == 35_000
+    assert ctw.score(docs.where(F.lit(False)).withColumnRenamed("t", "text"), F.lit(True)).collect() == []
