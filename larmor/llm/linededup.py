@@ -8,8 +8,10 @@ candidates.  A line is compared with the first line of each of its buckets; afte
 of a bucket, all its lines that are not in one component yet are compared with each other.  A candidate pair
 is passed over where four bits of each minimum agree in fewer than ``AGREE`` places, or where ``MAP`` bits, one
 of them set by each gram, differ in more places than sets of this size can that are alike enough (no pair is
-lost by that: each such place is a gram of one set alone).  Every other one is decided by the exact Jaccard
-similarity of the whole sets.  Lines that are alike enough meet in distributed union-find, and of each
+lost by that: each such place is a gram of one set alone).  Every other one is decided by the exact Jaccard similarity of
+the whole sets.  Among all the lines of a bucket the tests are part of the joins, so that pairs that fail are never rows: a
+semi-join leaves the lines that have a possible partner, another those that a larger map of ``WIDE`` longs allows one, and
+these are compared by 32 bits of each gram before the exact test.  Lines that are alike enough meet in distributed union-find, and of each
 component the first occurrence, by document id and line number, stays.
 
 What is missed, by the binomial formulas: of pairs at similarity 0.8 some 0.7 % share no band and 0.03 % fall
@@ -35,6 +37,8 @@ STEP = 6
 AGREE = 18
 #: Longs of 64 bits of which each gram of a line sets one bit.
 MAP = 4
+#: Longs of the larger map of grams that lines have which stand in a bucket with others' components.
+WIDE = 16
 #: Components of a bucket that one task compares with each other.  A line is sent to as many tasks as its bucket has blocks.
 BLOCK = 2048
 THRESHOLD = 0.8
@@ -185,21 +189,72 @@ def bucket_components(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(roots, "a", "left").select("key", "a", F.coalesce("r", "a").alias("r"))
 
 
-def cross_pairs(members: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``a, b`` (a < b): all possible pairs of a bucket's lines in different components of ``members(key, a, r)``.
+def line_sets(texts: DataFrame) -> DataFrame:
+    """``h1, size, cut``: the number of a line's grams without repeats, and 32 bits of each, without repeats."""
+    sets = texts.select("h1", gram_set(F.col("line")).alias("grams"))
+    return sets.select("h1", F.size("grams").alias("size"), F.array_distinct(F.transform("grams", lambda x: F.shiftright(x, 32).cast("int"))).alias("cut"))
+
+
+def wide_maps(texts: DataFrame) -> DataFrame:
+    """``h1, wide``: ``WIDE`` longs, of whose bits each gram of the line sets one."""
+    coded = texts.select("h1", "line").repartition("h1").select("h1", _code(F.col("line")).alias("code"))
+    grams = coded.select("h1", "code", F.explode(F.sequence(F.lit(0), _last(F.col("code")))).alias("i")).select("h1", _gram(F.col("code"), F.col("i")).alias("x"))
+    word, bit = F.pmod(F.shiftrightunsigned("x", 12), F.lit(WIDE)).cast("int"), F.shiftrightunsigned("x", 40).bitwiseAND(F.lit(63)).cast("int")
+    words = grams.select("h1", word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("h1", "w").agg(F.bit_or("bit").alias("bits"))
+    of = lambda w: F.coalesce(F.max(F.when(F.col("w") == w, F.col("bits"))), F.lit(0).cast("long"))
+    return words.groupBy("h1").agg(*[of(w).alias(f"w{w}") for w in range(WIDE)]).select("h1", F.struct(*[f"w{w}" for w in range(WIDE)]).alias("wide"))
+
+
+def rival_lines(members: DataFrame) -> DataFrame:
+    """``key, a, r, blocks``: the rows of ``members(key, a, r)`` in buckets of several components, and the blocks of their bucket."""
+    many = members.select("key", "r").distinct().groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    return members.join(many, "key")
+
+
+def _apart() -> Column:
+    """Rows of one group whose lines lie in different components; of a pair of blocks, one of each."""
+    same = reduce(Column.__and__, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "lo", "hi")])
+    return same & (F.col("x.r") != F.col("y.r")) & ((F.col("x.lo") == F.col("x.hi")) | (F.col("x.own") != F.col("y.own")))
+
+
+def possible_rows(rivals: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``key, lo, hi, own, r, a``: the lines of buckets that may be alike with one of another component there.
 
     The components of a bucket are dealt into blocks and each pair of blocks is one group, so that no task holds a large bucket.
-    The filter is part of the join: of the pairs compared only the possible ones are rows.
     """
-    many = members.select("key", "r").distinct().groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    held = with_bits(members.join(many, "key"), signed, "a").withColumn("own", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int"))
+    held = rivals.join(signed.select(F.col("h1").alias("a"), "bits"), "a").withColumn("own", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int"))
     dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "r", "a", "a_bits")
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "r", "a", "bits")
     x, y = dealt.alias("x"), dealt.alias("y")
-    same = reduce(Column.__and__, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "lo", "hi")])
-    apart = (F.col("x.r") < F.col("y.r")) & ((F.col("x.lo") == F.col("x.hi")) | (F.col("x.own") != F.col("y.own")))
-    pairs = x.join(y, same & apart & _possible("x.a_bits", "y.a_bits", threshold))
-    return pairs.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
+    return x.join(y, _apart() & _possible("x.bits", "y.bits", threshold), "left_semi").drop("bits")
+
+
+def mapped_rows(rows: DataFrame, signed: DataFrame, maps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``possible_rows`` that may be alike with one of another component by the larger maps too."""
+    dealt = rows.join(maps.join(signed.select("h1", "bits"), "h1").withColumnRenamed("h1", "a"), "a").select(*rows.columns, "bits", "wide")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.wide.w{w}").bitwiseXOR(F.col(f"y.wide.w{w}"))) for w in range(WIDE)])
+    near = differ * F.lit(1 + threshold) <= F.lit(1 - threshold) * (F.col("x.bits.grams") + F.col("y.bits.grams")) + F.lit(1e-6)
+    return x.join(y, _apart() & _possible("x.bits", "y.bits", threshold) & near, "left_semi").select(*rows.columns)
+
+
+def cross_pairs(rows: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``a, b`` (64-bit line keys), each pair once: the lines of ``mapped_rows`` that are alike enough by ``sets``.
+
+    All tests are part of the join, so that pairs that fail are never rows.  A pair is tested in the first bucket that it
+    shares; where one line is the first of that bucket, the pair has been tested before.  Equal grams have equal 32 bits, so
+    no alike pair fails; the few that pass by grams which share their 32 bits are left to the exact test.
+    """
+    dealt = rows.join(sets.join(signed.select("h1", "keys", "bits"), "h1").withColumnRenamed("h1", "a"), "a")
+    dealt = dealt.select("key", "lo", "hi", "own", "r", "a", "keys", "bits", "size", "cut")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    sized = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * F.lit(threshold)
+    first = F.get(F.array_intersect("x.keys", "y.keys"), F.lit(0)) == F.col("x.key")
+    # Of a line's grams that share 32 bits all but one may be common ones that were not counted.
+    most = F.size(F.array_intersect("x.cut", "y.cut")) + F.greatest(F.col("x.size") - F.size("x.cut"), F.col("y.size") - F.size("y.cut"))
+    near = most * F.lit(1 + threshold) >= F.lit(threshold) * (F.col("x.size") + F.col("y.size")) - F.lit(1e-6)
+    pairs = x.join(y, _apart() & (F.col("x.r") < F.col("y.r")) & sized & _possible("x.bits", "y.bits", threshold) & first & near)
+    return pairs.select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
 
 
 def _maybe_broadcast(table: DataFrame, rows: int) -> DataFrame:
@@ -232,27 +287,45 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialize(band_keys(distinct_lines(docs, id_col, text_col)), "line-bands")
     free_shuffles(spark)
 
-    def alike(found: DataFrame) -> DataFrame:
-        pairs = materialize(found, "line-pairs")
-        free_shuffles(spark)
-        ids = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
+    def read(ids: DataFrame) -> DataFrame:
+        """``h1, h2, line`` of the lines of ``ids(h1)``."""
         wanted = signed.select("h1", "h2", "d", "h", "n").join(_maybe_broadcast(ids, ids.count()), "h1")
         texts = materialize(_texts(docs, wanted, id_col, text_col), "line-texts")
         free_shuffles(spark)
-        edges = materialize(_verify(pairs, texts, threshold), "line-edges")
-        discard(pairs, texts)
-        free_shuffles(spark)
-        return edges
+        return texts
 
     rows = materialize(bucket_rows(signed), "line-buckets")
     free_shuffles(spark)
-    edges = alike(hub_pairs(rows, signed, threshold))
+    pairs = materialize(hub_pairs(rows, signed, threshold), "line-pairs")
+    free_shuffles(spark)
+    texts = read(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct())
+    edges = materialize(_verify(pairs, texts, threshold), "line-edges")
+    discard(pairs, texts)
+    free_shuffles(spark)
     known = connected_components(edges)
     members = materialize(bucket_components(rows, known), "line-members")
     discard(rows, known)
     free_shuffles(spark)
-    more = alike(cross_pairs(members, signed, threshold))
+    rivals = materialize(rival_lines(members), "line-rivals")
     discard(members)
+    free_shuffles(spark)
+    possible = materialize(possible_rows(rivals, signed, threshold), "line-rows")
+    discard(rivals)
+    free_shuffles(spark)
+    texts = read(possible.select(F.col("a").alias("h1")).distinct())
+    maps = materialize(wide_maps(texts), "line-maps")
+    free_shuffles(spark)
+    left = materialize(mapped_rows(possible, signed, maps, threshold), "line-rows")
+    discard(possible, maps)
+    free_shuffles(spark)
+    sets = materialize(line_sets(texts.join(left.select(F.col("a").alias("h1")).distinct(), "h1")), "line-sets")
+    free_shuffles(spark)
+    pairs = materialize(cross_pairs(left, signed, sets, threshold), "line-pairs")
+    discard(left, sets)
+    free_shuffles(spark)
+    more = materialize(_verify(pairs, texts, threshold), "line-edges")
+    discard(pairs, texts)
+    free_shuffles(spark)
     found = connected_components(edges.unionByName(more))
     discard(edges, more)
     free_shuffles(spark)

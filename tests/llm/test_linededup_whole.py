@@ -117,3 +117,24 @@ def test_shuffle_files_go_between_steps(spark, monkeypatch):
     monkeypatch.setattr(L, "free_shuffles", lambda s: calls.append(s))
     L.dedup(spark.createDataFrame([(1, "one line of text\nanother line"), (2, "one line of text!")], DOC)).collect()
     assert len(calls) >= 6
+
+
+def test_only_alike_pairs_of_a_bucket_are_rows(spark):
+    # One bucket of 60 distinct lines with a common part, similar to each other but not enough, and one true pair.
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common = word(300)
+    lines = [common + word(110) for _ in range(60)]
+    lines.append(lines[40][:330] + "#" + lines[40][331:])
+    alike = sum(len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)) for i, a in enumerate(lines) for b in lines[:i])
+    assert alike == 1
+    rows = spark.createDataFrame(list(enumerate(lines)), "i long, line string").select(F.col("i").alias("h1"), F.col("i").alias("h2"), F.col("i").alias("d"), F.col("i").alias("h"), F.lit(0).alias("n"), "line")
+    signed = L.band_keys(rows).cache()
+    texts = rows.select("h1", "h2", "line")
+    # All lines but the first share every bucket here, each a component of its own.
+    rivals = L.rival_lines(spark.range(1, 61).select(F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("key"), F.col("id").alias("a"), F.col("id").alias("r")))
+    signed = signed.withColumn("keys", F.array(*[F.lit(k).cast("long") for k in range(3)]))
+    left = L.mapped_rows(L.possible_rows(rivals, signed), signed, L.wide_maps(texts))
+    assert {(r["key"], r["a"]) for r in left.collect()} >= {(k, a) for k in range(3) for a in (40, 60)}
+    got = L.cross_pairs(left, signed, L.line_sets(texts)).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(40, 60)]
